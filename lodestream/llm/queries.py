@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, url_filter
+from . import bpe, chat, line_dedup, packing, url_filter
 from .common import Scratch, read
 
 
@@ -39,6 +39,20 @@ FROM c
 """
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe())
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(read(spark, sf_dir, "documents"), word_bpe())
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
@@ -47,5 +61,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op6_url_filter, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op4_packing, op5_bpe, op6_url_filter, op9_line_dedup)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op9_line_dedup": line_dedup.ORACLE}
