@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, packing, url_filter
+from . import bpe, chat, line_dedup, packing, quality, toxicity, url_filter
 from .common import Scratch, read
 
 
@@ -39,6 +39,16 @@ FROM c
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), 3, 1)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")), 4, 2)
+
+
 def word_bpe() -> str:
     import public_tokenizers
 
@@ -61,5 +71,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op4_packing, op5_bpe, op6_url_filter, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_toxicity, op4_packing, op5_bpe, op6_url_filter, op7_quality, op9_line_dedup)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op9_line_dedup": line_dedup.ORACLE}
