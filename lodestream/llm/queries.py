@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, packing, quality, toxicity, url_filter
+from . import bpe, chat, embedding_dedup, line_dedup, packing, quality, topk, toxicity, url_filter
 from .common import Scratch, read
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -71,5 +79,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_toxicity, op4_packing, op5_bpe, op6_url_filter, op7_quality, op9_line_dedup)}
-ORACLES = {"op2_chat_format": OP2_SQL, "op9_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_chat_format, op3_toxicity, op4_packing, op5_bpe, op6_url_filter, op7_quality, op9_line_dedup, op10_topk)}
+ORACLES = {"op1_embedding_neardup": embedding_dedup.ORACLE, "op10_topk": topk.ORACLE, "op2_chat_format": OP2_SQL, "op9_line_dedup": line_dedup.ORACLE}

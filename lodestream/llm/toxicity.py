@@ -28,7 +28,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("_label")).join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))
 
 
 @dataclass
