@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, line_dedup, packing, quality, topk, toxicity, url_filter
+from . import bpe, chat, embedding_dedup, jaccard, line_dedup, packing, quality, topk, toxicity, url_filter
 from .common import Scratch, read
 
 
@@ -75,9 +75,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_chat_format, op3_toxicity, op4_packing, op5_bpe, op6_url_filter, op7_quality, op9_line_dedup, op10_topk)}
-ORACLES = {"op1_embedding_neardup": embedding_dedup.ORACLE, "op10_topk": topk.ORACLE, "op2_chat_format": OP2_SQL, "op9_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_chat_format, op3_toxicity, op4_packing, op5_bpe, op6_url_filter, op7_quality, op8_ngram_jaccard, op9_line_dedup, op10_topk)}
+ORACLES = {"op8_ngram_jaccard": jaccard.ORACLE, "op1_embedding_neardup": embedding_dedup.ORACLE, "op10_topk": topk.ORACLE, "op2_chat_format": OP2_SQL, "op9_line_dedup": line_dedup.ORACLE}
