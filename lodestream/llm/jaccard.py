@@ -93,10 +93,10 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 class _Rule:
-    """Sizes under: link when den * intersection >= num * union."""
+    """Sizes under: link when den * intersection >= num * union. extra: heads are longer than a prefix by this share of spare()."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, extra: float):
+        self.num, self.den, self.extra = num, den, extra
 
     def needed(self, n: int) -> int:
         return -(-n * self.num // self.den)
@@ -105,6 +105,13 @@ class _Rule:
         """Shingles that a partner of a set of n may lack."""
         return n - self.needed(n)
 
+    def head(self, n: int) -> int:
+        return self.spare(n) and self.spare(n) + max(1, int(self.spare(n) * self.extra))
+
+    def head_shared(self, n: Column) -> Column:
+        """Shingles at least that the head of a set of n shares with the head of any partner, which has needed(n) or more."""
+        return F.greatest(F.lit(1), F.floor(self.spare_column(F.ceil(n * self.num / self.den)) * F.lit(self.extra)))
+
     def spare_column(self, n: Column) -> Column:
         return F.floor(n * (self.den - self.num) / self.den).cast("long")
 
@@ -141,10 +148,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: _Rule) -> DataFrame:
     return found.filter(rule.links(F.col("shared"), F.col("n1"), F.col("n2"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id; one row per input row. Ids of at most broadcast_ids
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, extra: float = 1.0, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id; one row per input row. extra: how much longer
+    than necessary heads are, as a share; longer heads tell better which classes can have links. Ids of at most broadcast_ids
     classes are broadcast to gather their sets (16 bytes each); more are joined."""
-    spark, scratch, rule = docs.sparkSession, Scratch(docs.sparkSession, "jaccard"), _Rule(num, den)
+    spark, scratch, rule = docs.sparkSession, Scratch(docs.sparkSession, "jaccard"), _Rule(num, den, extra)
     docs = docs.select("doc_id", "text")
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +161,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
             for at, run in _runs(texts):
                 sizes, sigs, heads = [], [], []
                 for s in shingle_sets(run, words):
-                    spare = rule.spare(len(s))
                     sizes.append(len(s))
                     sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    heads.append(s[: 2 * spare])
+                    heads.append(s[: rule.head(len(s))])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), _lists(heads)], ["doc_id", "n", "sig", "head"])
 
     signed = scratch.cut(docs.mapInArrow(signatures, "doc_id long, n long, sig binary, head array<long>"), "signed")
@@ -166,8 +173,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     heads = members.select("doc_id", F.expr("conv(hex(substring(sig, 1, 7)), 16, 10)").cast("long").alias("mark"), "n", F.explode("head").alias("h"))
     shared_heads = heads.groupBy("h").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo <> hi").select("h")
     shared_heads = scratch.cut(shared_heads, "shared_heads")
-    enough = F.greatest(F.lit(1), rule.spare_column(F.ceil(F.col("n") * num / den)))
-    alive = heads.join(shared_heads, "h").groupBy("doc_id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= enough).select("doc_id")
+    alive = heads.join(shared_heads, "h").groupBy("doc_id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= rule.head_shared(F.col("n"))).select("doc_id")
     alive = scratch.cut(alive.distinct().join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "alive")
 
     # the sets of the classes that are left

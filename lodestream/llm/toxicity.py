@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,3 +114,17 @@ def score(docs: DataFrame, model, folds: int, held_out: int, threshold: float =
 
     scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def select_rows(docs: DataFrame, model, keep) -> DataFrame:
+    """The rows of docs, all columns, whose score(text) satisfies keep, a function of an array of scores."""
+    shared, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros(b.num_rows)
+            for at, texts in tf.runs_of(b.column(at_text).to_pylist()):
+                out[at : at + len(texts)] = shared.value.score(texts)
+            yield b.filter(pa.array(keep(out)))
+
+    return docs.mapInArrow(run, docs.schema)
