@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BIDS, ASKS = F.col("bids"), F.col("asks")
+BIDS, ASKS = "bids", "asks"
 
 
-def level(side: Column, i: int, field: str) -> Column:
+def level(side: Column | str, i: int, field: str) -> Column:
     """Field of level i from 1; null where the book is shorter."""
     return F.get(side, F.lit(i - 1))[field]
 
@@ -25,7 +25,7 @@ def mid() -> Column:
     return F.when(_both(), (level(BIDS, 1, "price") + level(ASKS, 1, "price")) / 2).otherwise(0.0)
 
 
-def total(side: Column, k: int, f=lambda x: x["size"]) -> Column:
+def total(side: Column | str, k: int, f=lambda x: x["size"]) -> Column:
     return F.aggregate(F.slice(side, 1, k), F.lit(0.0), lambda a, x: a + f(x))
 
 
@@ -60,11 +60,11 @@ def weighted_mid(k: int) -> Column:
     return F.try_divide(_fold(v, lambda x: (x["a"]["price"] + x["b"]["price"]) / 2 * size(x)), _fold(v, size))
 
 
-def vwap(side: Column, k: int) -> Column:
+def vwap(side: Column | str, k: int) -> Column:
     return F.try_divide(total(side, k, lambda x: x["price"] * x["size"]), total(side, k))
 
 
-def slope(side: Column, k: int, least: int = 2) -> Column:
+def slope(side: Column | str, k: int, least: int = 2) -> Column:
     """Least-squares slope of size on price over the first k levels; 0 with fewer than `least` or with one price."""
     v = F.filter(F.slice(side, 1, k), lambda x: x["price"].isNotNull() & (x["size"] > 0))
     n = F.size(v).cast("double")
@@ -77,7 +77,7 @@ def slope(side: Column, k: int, least: int = 2) -> Column:
 
 def violations() -> Column:
     """Crossed top, levels out of order and sizes that are not positive, each counted."""
-    def steps(side: Column, wrong) -> Column:
+    def steps(side: Column | str, wrong) -> Column:
         pairs = F.zip_with(F.slice(side, 1, F.greatest(F.size(side) - 1, F.lit(0))), F.slice(side, 2, F.greatest(F.size(side), F.lit(1))), lambda x, y: wrong(x["price"], y["price"]))
         return F.size(F.filter(pairs, lambda x: x))
 

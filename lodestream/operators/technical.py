@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.windows import Rolling
 
 R = Rolling()
-O, H, L, C, V = (F.col(c) for c in ("open", "high", "low", "close", "volume"))  # noqa: E741
+
+
+def _ohlcv() -> tuple[Column, ...]:
+    return tuple(F.col(c) for c in ("open", "high", "low", "close", "volume"))
 
 
 def _base() -> dict[str, Column]:
+    O, H, L, C, V = _ohlcv()  # noqa: E741
     tp = (H + L + C) / 3
     c1 = R.lag("close")
     ln = lambda a, b: F.ln(F.try_divide(a, b))
@@ -40,6 +44,7 @@ def _base() -> dict[str, Column]:
 
 def _linreg(p: int) -> Column:
     """Endpoint of the least-squares line through p closes: a fixed weighting of lags."""
+    C = F.col("close")
     mean = (p - 1) / 2
     sxx = sum((i - mean) ** 2 for i in range(p))
     return sum(((R.lag("close", p - 1 - i) if i < p - 1 else C) * (1 / p + (i - mean) * (p - 1 - mean) / sxx) for i in range(p)), F.lit(0.0))
@@ -51,6 +56,7 @@ def _gkyz(p: int) -> Column:
 
 
 def _williams(p: int) -> Column:
+    C = F.col("close")
     hh, ll = R.max("high", p), R.min("low", p)
     return F.when(hh.isNotNull(), F.coalesce(F.try_divide(hh - C, hh - ll) * -100, F.lit(-50.0)))
 
@@ -62,11 +68,13 @@ def _cci(p: int) -> Column:
 
 
 def _fast_k(p: int) -> Column:
+    C = F.col("close")
     hh, ll = R.max("high", p), R.min("low", p)
     return F.when(hh.isNotNull(), F.coalesce(F.try_divide(C - ll, hh - ll) * 100, F.lit(0.0)))
 
 
 def _rolling() -> dict[str, Column]:
+    O, H, L, C, V = _ohlcv()  # noqa: E741
     out: dict[str, Column] = {f"sma_{p}": R.mean("close", p) for p in (5, 10, 20, 50)}
     for p in (5, 10, 20):
         out[f"_raw_{p}"] = 2 * R.weighted("close", p // 2) - R.weighted("close", p)
