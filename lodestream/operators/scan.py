@@ -168,6 +168,35 @@ def mama(c: np.ndarray, h: np.ndarray, low: np.ndarray, fast: float = 0.5, slow:
     return out, follow
 
 
+def hilbert_trend(c: np.ndarray) -> np.ndarray:
+    """Trend line: the mean of the last dominant cycle of the price, smoothed by weights 4, 3, 2, 1."""
+    n = len(c)
+    out, mean = np.full(n, np.nan), np.zeros(n)
+    smooth, detr, i1, q1 = (np.zeros(n) for _ in range(4))
+    total = np.concatenate([[0.0], np.cumsum(c)])
+    i2 = q2 = re = im = i2_1 = q2_1 = smooth_period = 0.0
+    period = 6.0
+    taps = ((0, 0.0962), (2, 0.5769), (4, -0.5769), (6, -0.0962))
+    for k in range(6, n):
+        smooth[k] = (4 * c[k] + 3 * c[k - 1] + 2 * c[k - 2] + c[k - 3]) / 10
+        gain = 0.075 * period + 0.54
+        turn = lambda x, k=k, gain=gain: sum(w * x[k - d] for d, w in taps) * gain
+        detr[k] = turn(smooth)
+        q1[k], i1[k] = turn(detr), detr[k - 3]
+        i2, q2 = 0.2 * (i1[k] - turn(q1)) + 0.8 * i2, 0.2 * (q1[k] + turn(i1)) + 0.8 * q2
+        re, im = 0.2 * (i2 * i2_1 + q2 * q2_1) + 0.8 * re, 0.2 * (i2 * q2_1 - q2 * i2_1) + 0.8 * im
+        i2_1, q2_1 = i2, q2
+        raw = 2 * np.pi / np.arctan(im / re) if re and im else period
+        raw = min(max(raw, 0.67 * period), 1.5 * period)
+        period = 0.2 * min(max(raw, 6), 50) + 0.8 * period
+        smooth_period = 0.33 * period + 0.67 * smooth_period
+        span = min(max(int(smooth_period + 0.5), 1), k + 1)
+        mean[k] = (total[k + 1] - total[k + 1 - span]) / span
+        if k >= 63:
+            out[k] = (4 * mean[k] + 3 * mean[k - 1] + 2 * mean[k - 2] + mean[k - 3]) / 10
+    return out
+
+
 def recursive(f: pd.DataFrame) -> dict[str, pd.Series]:
     """Every recurrence of the catalogue on one series of bars in time order."""
     c, h, low, v = f["close"], f["high"], f["low"], f["volume"]
@@ -206,6 +235,7 @@ def recursive(f: pd.DataFrame) -> dict[str, pd.Series]:
     stop, side = sar(h.to_numpy(), low.to_numpy())
     out |= {"sar": pd.Series(stop, index=c.index), "sarext": pd.Series(np.where(side < 0, -stop, stop), index=c.index)}
     m, fama = mama(c.to_numpy(), h.to_numpy(), low.to_numpy())
+    out |= {"ht_trendline": pd.Series(hilbert_trend(c.to_numpy()), index=c.index)}
     return out | {"mama": pd.Series(m, index=c.index), "fama": pd.Series(fama, index=c.index)}
 
 

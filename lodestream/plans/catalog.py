@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import book, scalar
 from ..functions.windows import Rolling
-from ..operators import align, clean, cross_asset, models, resample, scan, structure, technical, trading, validate
+from ..operators import align, clean, cross_asset, models, reports, resample, scan, structure, technical, trading, validate
 from ..sources import fixtures as fx
 from . import engine
 
@@ -600,8 +600,32 @@ def boosted_trees(spark, sf):
 
 @query("trade_log_metrics", f"WITH {fx.TRADE_LOG_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl < 0) AS losses, {rnd('sum(pnl)', 'pnl', 2)}, {rnd('avg(latency_ms)', 'latency_ms')}, {rnd('count(*) FILTER (WHERE pnl > 0) / count(*)', 'win_rate')} FROM trade_log")
 def trade_log_metrics(spark, sf):
-    t = fx.trade_log(spark, sf)
-    return t.agg(F.count("*").alias("total"), F.count_if(F.col("pnl") > 0).alias("wins"), F.count_if(F.col("pnl") < 0).alias("losses"), (F.round(F.sum("pnl"), 2) + 0.0).alias("pnl"), (F.round(F.avg("latency_ms"), 6) + 0.0).alias("latency_ms"), (F.round(F.count_if(F.col("pnl") > 0) / F.count("*"), 6) + 0.0).alias("win_rate"))
+    m = reports.trade_metrics(fx.trade_log(spark, sf)).drop("slippage_pips")
+    return m.withColumns({c: F.round(c, p) + 0.0 for c, p in (("pnl", 2), ("latency_ms", 6), ("win_rate", 6))})
+
+
+@query("performance_log", f"{TICKS} SELECT count(*) AS samples, {rnd('avg(volume)', 'cpu_percent')}, {rnd('avg(price)', 'memory_mb')}, {rnd('avg(sequence % 80)', 'latency_ms')}, max(sequence % 80)::DOUBLE AS max_latency_ms FROM ticks WHERE ts >= (SELECT max(ts) FROM ticks) - INTERVAL 600 minute")
+def performance_log(spark, sf):
+    log = fx.ticks(spark, sf).select("ts", F.col("volume").alias("cpu_percent"), F.col("price").alias("memory_mb"), (F.col("sequence") % 80).cast("double").alias("latency_ms"))
+    return rounded(reports.performance_metrics(reports.recent(log, 600)))
+
+
+QUALITY = f"{TICKS}, m AS (SELECT ts, symbol AS data_type, volume / 99 AS overall, sequence % 3 AS anomalies, price > 20 AS passed FROM ticks)"
+
+
+def _quality_log(spark, sf):
+    result = F.array(F.struct(F.lit("r").alias("rule"), (F.col("price") > 20).alias("passed")))
+    return fx.ticks(spark, sf).select("ts", F.col("symbol").alias("data_type"), (F.col("volume") / 99).alias("overall"), (F.col("sequence") % 3).alias("anomalies"), result.alias("results"))
+
+
+@query("quality_summary", f"{QUALITY} SELECT data_type, count(*) AS n, {rnd('avg(overall)', 'overall')}, sum(anomalies)::BIGINT AS anomalies, count(*) FILTER (WHERE NOT passed) AS failed FROM m WHERE ts >= (SELECT max(ts) FROM m) - INTERVAL 48 hour GROUP BY 1")
+def quality_summary(spark, sf):
+    return rounded(reports.quality_summary(_quality_log(spark, sf), 48))
+
+
+@query("current_status", f"{QUALITY}, n AS (SELECT data_type, arg_max(overall, ts) AS s FROM m GROUP BY 1), a AS (SELECT avg(s) AS overall, count(*) AS types FROM n) SELECT {rnd('overall', 'overall')}, types, CASE WHEN overall >= 0.9 THEN 'excellent' WHEN overall >= 0.8 THEN 'good' WHEN overall >= 0.7 THEN 'acceptable' WHEN overall >= 0.5 THEN 'poor' ELSE 'critical' END AS status FROM a")
+def current_status(spark, sf):
+    return rounded(reports.current_status(_quality_log(spark, sf)))
 
 
 @query("order_flow", f"{TICKS}, x AS (SELECT *, CASE side WHEN 'buy' THEN volume WHEN 'sell' THEN -volume ELSE 0 END AS s, CASE side WHEN 'buy' THEN volume ELSE 0 END AS b FROM ticks) SELECT sequence, sum(s) {over(None, order='ts, sequence')} AS cvd, sum(s) {over(20, order='ts, sequence')} AS cvd_20, {rnd('sum(b) ' + over(60, order='ts, sequence') + ' / nullif(sum(volume) ' + over(60, order='ts, sequence') + ', 0)', 'buy_share_60')} FROM x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.cache: dict[str, DataFrame] = {}
+        self.cache: dict[str, tuple[DataFrame, float]] = {}
 
     def write(self, df: DataFrame, data_type: str, ts: str = "ts") -> bool:
         """Appends; refuses an empty frame. Part files have unique names, so writes never overwrite each other."""
@@ -51,18 +52,36 @@ class Store:
 
     def retrieve(self, data_type: str, start=None, end=None) -> DataFrame:
         """The cached frame if no bounds are given, else stored rows, the last of each (symbol, ts)."""
-        if start is None and end is None and (hit := self.cache.get(f"{data_type}:latest")) is not None:
+        if start is None and end is None and (hit := self.cached(f"{data_type}:latest")) is not None:
             return hit
         df = self.read(data_type, start, end)
         return dedup(df, "last") if {"symbol", "ts", "sequence"} <= set(df.columns) else df
 
-    def put(self, key: str, df: DataFrame) -> None:
+    def put(self, key: str, df: DataFrame, seconds: float = 3600) -> None:
+        """Persists a frame under a key for so many seconds."""
         self.drop(key)
-        self.cache[key] = df.persist()
+        self.cache[key] = df.persist(), time.monotonic() + seconds
+
+    def cached(self, key: str) -> DataFrame | None:
+        df, until = self.cache.get(key, (None, 0.0))
+        if df is not None and time.monotonic() > until:
+            self.drop(key)
+            return None
+        return df
 
     def drop(self, key: str) -> None:
-        if (old := self.cache.pop(key, None)) is not None:
-            old.unpersist()
+        df, _ = self.cache.pop(key, (None, 0.0))
+        if df is not None:
+            df.unpersist()
+
+    def clear(self) -> None:
+        for key in list(self.cache):
+            self.drop(key)
+
+    def create_tables(self, schemas: dict[str, str]) -> None:
+        """Registers empty tables partitioned by day: {name: columns}."""
+        for name, columns in schemas.items():
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, ts_date DATE) USING parquet PARTITIONED BY (ts_date) LOCATION '{self.root}/{name}'")
 
     def partitions(self, data_type: str, ts: str = "ts") -> DataFrame:
         """(ts_date, start, end, records, files, bytes) over all files of each day."""
