@@ -40,7 +40,7 @@ class Scratch:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        out = self.spark.read.schema(self.spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
