@@ -13,8 +13,9 @@ class of n shingles needs partners that hold T = ceil(n * num / den) of them.
    sorted set, and stays if the required overlap is reached.
 3. Large groups. Only components are asked for, so each class first meets the most central class of its
    lists; then only candidates from different components are left, found from each list's postings outside
-   its largest component. Groups of near copies thus never make all their pairs, and no link that could join
-   two components is left out.
+   its largest component, and one of the pair has the list among its very shortest, as the smaller one of a
+   linked pair must. Two classes that met the same leader compare by their differences from it. Groups of near
+   copies thus never make all their pairs, and no link that could join two components is left out.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing.
 Fewer words than a shingle has make one shingle of them all. Rows of one doc_id get one component; a row
@@ -115,6 +116,10 @@ class _Rule:
     def spare_column(self, n: Column) -> Column:
         return F.floor(n * (self.den - self.num) / self.den).cast("long")
 
+    def spare_smaller(self, n: Column) -> Column:
+        """Shingles that a set of n may have and a linked set that is no smaller may lack."""
+        return n - F.ceil(n * (2 * self.num) / (self.den + self.num))
+
     def may_link(self, n1: Column, u1: Column, n2: Column, u2: Column) -> Column:
         """u: shingles that no other class holds. The intersection leaves them out, the union holds both."""
         both = F.least(n1 - u1, n2 - u2)
@@ -124,28 +129,37 @@ class _Rule:
         return shared * self.den >= (n1 + n2 - shared) * self.num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: _Rule) -> DataFrame:
-    """pairs (a, b) -> those that link, by binary probes of the smaller set's shingles in the larger."""
+def _compared(pairs: DataFrame, sets: DataFrame, differences: bool) -> DataFrame:
+    """pairs (a, b) -> a, b, n1, n2, shared, by binary probes of the smaller set's shingles in the larger; with
+    differences also what a lacks of b and has beyond it, where the two are fewer than half of a."""
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("shingles").alias("s1"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("shingles").alias("s2"))
     wide = pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
         for b in batches:
-            shared = np.zeros(b.num_rows, np.int64)
+            shared, lacks, beyond = np.zeros(b.num_rows, np.int64), [], []
             left, right = (b.column(c) for c in (4, 5))
             lv, rv = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (left, right))
             lo, ro = (x.offsets.to_numpy() for x in (left, right))
             for k in range(b.num_rows):
                 x, y = lv[lo[k] : lo[k + 1]], rv[ro[k] : ro[k + 1]]
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                shared[k] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(shared)], ["a", "b", "n1", "n2", "shared"])
-
-    found = wide.mapInArrow(probe, "a long, b long, n1 long, n2 long, shared long")
-    return found.filter(rule.links(F.col("shared"), F.col("n1"), F.col("n2"))).select("a", "b")
+                short, long = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.searchsorted(long, short)
+                found = long[np.minimum(at, len(long) - 1)] == short
+                shared[k] = np.count_nonzero(found)
+                near = differences and len(x) + len(y) - 2 * shared[k] < len(x) // 2
+                if near:
+                    rest, gone = np.delete(long, at[found]), short[~found]
+                    lacks.append(rest if long is y else gone)
+                    beyond.append(gone if long is y else rest)
+                else:
+                    lacks.append(none)
+                    beyond.append(none)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(shared), _lists(lacks), _lists(beyond)], ["a", "b", "n1", "n2", "shared", "lacks", "beyond"])
+
+    return wide.mapInArrow(probe, "a long, b long, n1 long, n2 long, shared long, lacks array<long>, beyond array<long>")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, extra: float = 1.0, broadcast_ids: int = 2_000_000) -> DataFrame:
@@ -200,7 +214,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     ordered = postings.join(lengths, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("length", "h"))).alias("lists"))
     ordered = ordered.join(sets.select("id", "n"), "id").withColumn("u", F.col("n") - F.size("lists")).filter(F.col("u") <= rule.spare_column(F.col("n")))
     # shingles that no other class holds have lists of one and come first; what is left of the short lists follows
-    short = ordered.select("id", "n", "u", F.explode(F.slice("lists", 1, (rule.spare_column(F.col("n")) + 1 - F.col("u")).cast("int"))).alias("l")).select("id", "n", "u", F.col("l.h").alias("h"))
+    # early: in the part that the smaller one of a linked pair shares with the larger one's short lists
+    short = ordered.select("id", "n", "u", F.posexplode(F.slice("lists", 1, (rule.spare_column(F.col("n")) + 1 - F.col("u")).cast("int"))).alias("at", "l"))
+    short = short.select("id", "n", "u", F.col("l.h").alias("h"), (F.col("u") + F.col("at") <= rule.spare_smaller(F.col("n"))).alias("early"))
     short = scratch.cut(short, "short")
 
     # every class with the most central class of its lists
@@ -208,20 +224,32 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     leaders = scratch.cut(leaders, "leaders")
     met = short.join(leaders, "h").filter(F.col("id") != F.col("b")).filter(rule.may_link(F.col("n"), F.col("u"), F.col("n2"), F.col("u2")))
     met = met.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    first = scratch.cut(_verified(met, sets, rule), "links")
+    met = scratch.cut(_compared(met, sets, differences=True), "met")
+    linked = rule.links(F.col("shared"), F.col("n1"), F.col("n2"))
+    first = met.filter(linked).select("a", "b")
     comps = connected_components(first, scratch)
+    # how a class differs from its leader, where it is near it: pairs with one leader compare by that alone
+    near = met.filter(F.col("n1") + F.col("n2") - 2 * F.col("shared") < F.floor(F.col("n1") / 2)).select(F.col("a").alias("id"), F.col("b").alias("leader"), "lacks", "beyond")
 
     # candidates from different components: at least one of them is outside its list's largest component
     placed = short.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     placed = scratch.cut(placed, "placed")
     largest = placed.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("h", "main")
     largest = scratch.cut(largest, "largest")
-    mixed = scratch.cut(placed.join(largest, "h"), "mixed")
-    odd = mixed.filter("comp <> main").select("h", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("u").alias("u1"), F.col("comp").alias("c1"))
-    every = mixed.select("h", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("comp").alias("c2"), "main")
-    candidates = odd.join(every, "h").filter((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") < F.col("b")))).filter(rule.may_link(F.col("n1"), F.col("u1"), F.col("n2"), F.col("u2")))
-    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = scratch.cut(_verified(candidates, sets, rule), "links")
+    mixed = scratch.cut(placed.join(largest, "h").join(near, "id", "left"), "mixed")
+    side = lambda k, name: [F.col(c).alias(f"{c}{k}") for c in ("n", "u", "comp", "early", "leader", "lacks", "beyond")] + [F.col("id").alias(name)]
+    odd = mixed.filter("comp <> main").select("h", *side(1, "a"))
+    every = mixed.select("h", "main", *side(2, "b"))
+    smaller_early = F.when(F.struct("n1", "a") < F.struct("n2", "b"), F.col("early1")).otherwise(F.col("early2"))
+    once = (F.col("comp2") == F.col("main")) | (F.col("a") < F.col("b"))
+    # both near one leader: the intersection follows from what they lack of it and have beyond it
+    leader_size = F.col("n1") + F.size("lacks1") - F.size("beyond1")
+    shared = leader_size - F.size(F.array_union("lacks1", "lacks2")) + F.size(F.array_intersect("beyond1", "beyond2"))
+    one_leader = F.coalesce(F.col("leader1") == F.col("leader2"), F.lit(False))
+    pair = odd.join(every, "h").filter((F.col("comp1") != F.col("comp2")) & once & smaller_early & rule.may_link(F.col("n1"), F.col("u1"), F.col("n2"), F.col("u2")))
+    pair = pair.filter(~one_leader | rule.links(shared, F.col("n1"), F.col("n2")))
+    candidates = scratch.cut(pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), one_leader.alias("linked")).distinct(), "candidates")
+    second = _compared(candidates.filter("not linked").select("a", "b"), sets, differences=False).filter(linked).select("a", "b").unionByName(candidates.filter("linked").select("a", "b"))
     comps = connected_components(first.unionByName(second), scratch)
 
     by_class = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
