@@ -5,7 +5,7 @@ space and whose normalizer leaves it alone, the ids of a text are the ids of its
 are counted in Spark, the `table_words` most frequent are encoded once and their ids are joined back by
 position in one scan of the texts (a broadcast of proven size, so that no text or word list is shuffled).
 Any other word is split into stem and end punctuation, which are looked up, or else is encoded where it
-stands, once in each run of `run_bytes` of text. The result never depends on what the table holds.
+stands, once in a task while its memo has room. The result never depends on what the table holds.
 
 Defined results: a null text is empty; an empty text has no ids. Repeated rows give repeated rows.
 """
@@ -16,8 +16,10 @@ import hashlib
 import os
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A letter, ASCII or Latin-1, and then punctuation to the word's end: two pre-tokens on either side of the cut.
-_END = re.compile(rb"(.*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:]+)", re.DOTALL)
+#: Letters, ASCII or Latin-1, alone.
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Punctuation that ends words. No apostrophe, which begins contractions, and nothing that special tokens are written with.
+_ENDS = b'.,!?;:*&$%#@+=~^/()[]{}"-'
 
 
 def tokenizer(path: str):
@@ -39,12 +43,44 @@ def tokenizer(path: str):
     return t
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte that does not print as the next free code point from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + k for k, b in enumerate(hidden)}
 
 
-def _encode(t, words: list[bytes]) -> list[bytes]:
-    return [_packed(e.ids) for e in t.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+class Words:
+    """Encodes single words. A plain word of a caseless byte-level vocabulary is one pre-token, so that it goes straight
+    to the merges; whether the vocabulary is of that kind is tried on a few words."""
+
+    _letters = _byte_letters()
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
+        tried = [w.encode() for w in ("a", "Zebra", "uNiVeRsAl", "Éclair", "größe", "ÀÞÿß")]
+        self.direct = [self._whole(w) for w in tried] == [self.ids([w])[0] for w in tried]
+
+    def _whole(self, word: bytes) -> bytes:
+        letters = word.decode().lower().encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        plain = [self.direct and _PLAIN.fullmatch(w) is not None for w in words]
+        rest = iter(self.ids([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [self._whole(w) if p else next(rest) for w, p in zip(words, plain, strict=True)]
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, ...]:
+        """A word that ends in a letter and then punctuation is those two pre-tokens."""
+        stem = word.rstrip(_ENDS)
+        if len(stem) == len(word) or not (stem[-1:].isalpha() or _PLAIN.fullmatch(stem[-2:])):
+            return (word,)
+        return stem, word[len(stem) :]
 
 
 def word_counts(texts: DataFrame, min_in_run: int = 2, run_words: int = 400_000) -> DataFrame:
@@ -75,12 +111,9 @@ def word_table(texts: DataFrame, path: str, table_words: int = 1 << 19) -> Broad
     top = word_counts(texts).orderBy(F.desc("n"), "word").limit(table_words).select("word")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = Words(path)
         for b in batches:
-            words = b.column(0).to_pylist()
-            for k in range(0, len(words), 5000):
-                part = words[k : k + 5000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(_encode(t, part), pa.binary())], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t.encode(b.column(0).to_pylist()), pa.binary())], ["word", "ids"])
 
     rows = top.repartition(max(12, table_words >> 14)).mapInArrow(encode, "word binary, ids binary").toArrow()
     # four flat arrays, not half a million objects: quick to send, and read once in each worker
@@ -91,31 +124,38 @@ def word_table(texts: DataFrame, path: str, table_words: int = 1 << 19) -> Broad
     return spark.sparkContext.broadcast(flat)
 
 
+class _Table(dict):
+    """Words that it lacks are looked up in extra, which holds them by then."""
+
+    extra: dict[bytes, bytes]
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.extra[word]
+
+
 class Encoder:
-    """Encodes texts in a task by a word table."""
+    """Encodes texts in a task by a word table; other words are kept, at most `memo_words` of them, for later runs."""
 
-    def __init__(self, table: Broadcast, path: str):
+    def __init__(self, table: Broadcast, path: str, memo_words: int = 100_000):
         words, w, ids, k = table.value
         w, k = w.tolist(), k.tolist()
-        self.table = {words[a:b]: ids[c:d] for a, b, c, d in zip(w, w[1:], k, k[1:], strict=False)}
-        self.tokenizer = tokenizer(path)
+        self.table = _Table((words[a:b], ids[c:d]) for a, b, c, d in zip(w, w[1:], k, k[1:], strict=False))
+        self.table.extra, self.memo_words, self.words = {}, memo_words, Words(path)
 
     def run(self, texts: list[bytes]) -> Iterator[bytes]:
         """The packed ids of each text."""
-        get, extra = self.table.__getitem__, {}
+        table, extra = self.table, self.table.extra
+        if len(extra) > self.memo_words:
+            extra.clear()
         split = [t.split() for t in texts]
-        unknown = set().union(*split) - self.table.keys()
+        unknown = [w for w in set(filterfalse(table.__contains__, chain.from_iterable(split))) if w not in extra]
         if unknown:
-            parts = {w: m.groups() for w in unknown if (m := _END.fullmatch(w))}
-            rest = list({x for w in unknown for x in parts.get(w, (w,)) if x not in self.table})
-            extra = dict(zip(rest, _encode(self.tokenizer, rest), strict=True))
-            known = lambda x: self.table[x] if x in self.table else extra[x]
-            extra |= {w: known(a) + known(b) for w, (a, b) in parts.items()}
+            parts = {w: self.words.parts(w) for w in unknown}
+            rest = list({x for p in parts.values() for x in p if x not in table and x not in extra})
+            extra.update(zip(rest, self.words.encode(rest), strict=True))
+            extra.update({w: b"".join(map(table.__getitem__, p)) for w, p in parts.items() if len(p) > 1})
         for words in split:
-            try:
-                yield b"".join(map(get, words))
-            except KeyError:
-                yield b"".join([self.table[w] if w in self.table else extra[w] for w in words])
+            yield b"".join(map(table.__getitem__, words))
 
 
 def runs(texts: Iterator[bytes | None], run_bytes: int = 4 << 20) -> Iterator[list[bytes]]:
