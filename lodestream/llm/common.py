@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if folder := conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
+    master = conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(spark.sparkContext, "_lodestream_dir"):
         spark.sparkContext._lodestream_dir = "file://" + tempfile.mkdtemp(prefix="lodestream-")
