@@ -49,28 +49,30 @@ class NaiveBayesLinear:
         key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return key >> self.bits, key & (1 << self.bits) - 1
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray) -> NaiveBayesLinear:
-        """rows: each text's distinct buckets."""
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, step: int = 200) -> NaiveBayesLinear:
+        """rows: each text's distinct buckets. They are counted and then reduced to the chosen ones step texts at a time."""
         size, pos = 1 << self.bits, float(y.sum())
         self.weights = np.zeros(size, np.float32)
         n, share = len(y), pos / len(y) if len(y) else 0.0
         self.bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         if not 0 < pos < n:
             return self
-        owner = np.repeat(np.arange(n), [len(r) for r in rows])
-        bucket = np.concatenate(rows)
-        in_pos = np.bincount(bucket, y[owner], size)
-        seen = np.bincount(bucket, minlength=size)
+        in_pos, seen = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for k in range(0, n, step):
+            part, mark = rows[k : k + step], y[k : k + step]
+            seen += np.bincount(np.concatenate(part), minlength=size).astype(np.int32)
+            if mark.any():
+                in_pos += np.bincount(np.concatenate([r for r, m in zip(part, mark, strict=True) if m]), minlength=size).astype(np.int32)
         z = np.abs(in_pos - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
         keep = np.flatnonzero((z >= self.min_z) & (seen >= 3))
         if not len(keep):
             return self
         p, q = (1 + in_pos[keep]) / (2 + pos), (1 + seen[keep] - in_pos[keep]) / (2 + n - pos)
         ratio = np.log(p / q)
-        place = np.full(size, -1)
+        place = np.full(size, -1, np.int32)
         place[keep] = np.arange(len(keep))
-        used = place[bucket] >= 0
-        owner, column = owner[used], place[bucket[used]]
+        chosen = [c[c >= 0] for c in (place[r] for r in rows)]
+        owner, column = np.repeat(np.arange(n), [len(c) for c in chosen]), np.concatenate(chosen)
         x = ratio[column]
         w, b, g2, gb2 = np.zeros(len(keep)), self.bias, np.full(len(keep), 1e-6), 1e-6
         for _ in range(400):  # full-batch AdaGrad
@@ -98,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["_label"].to_numpy(), "ids": [x.astype("<u4").tobytes() for x in np.split(bucket, cut)]})
 
     rows = labelled_sample(docs, labels, label, folds, held_out, max_rows).mapInPandas(features, "doc_id long, y int, ids binary").toArrow().sort_by("doc_id")
-    return model.fit([np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("ids").to_pylist()], rows.column("y").to_numpy().astype(float))
+    y = rows.column("y").to_numpy().astype(float)
+    buckets = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("ids")]  # views: one copy of the sample in memory
+    return model.fit(buckets, y)
 
 
 def score(docs: DataFrame, model, folds: int, held_out: int, threshold: float = 0.7) -> DataFrame:
