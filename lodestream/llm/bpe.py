@@ -19,7 +19,6 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -75,12 +74,12 @@ class Words:
         return [self._whole(w) if p else next(rest) for w, p in zip(words, plain, strict=True)]
 
     @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
+    def parts(word: bytes) -> tuple[bytes, bytes] | None:
         """A word that ends in a letter and then punctuation is those two pre-tokens."""
         stem = word.rstrip(_ENDS)
-        if len(stem) == len(word) or not (stem[-1:].isalpha() or _PLAIN.fullmatch(stem[-2:])):
-            return (word,)
-        return stem, word[len(stem) :]
+        if len(stem) < len(word) and (stem[-1:].isalpha() or _PLAIN.fullmatch(stem[-2:])):
+            return stem, word[len(stem) :]
+        return None
 
 
 def word_counts(texts: DataFrame, min_in_run: int = 2, run_words: int = 400_000) -> DataFrame:
@@ -124,38 +123,38 @@ def word_table(texts: DataFrame, path: str, table_words: int = 1 << 19) -> Broad
     return spark.sparkContext.broadcast(flat)
 
 
-class _Table(dict):
-    """Words that it lacks are looked up in extra, which holds them by then."""
-
-    extra: dict[bytes, bytes]
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.extra[word]
-
-
 class Encoder:
     """Encodes texts in a task by a word table; other words are kept, at most `memo_words` of them, for later runs."""
 
     def __init__(self, table: Broadcast, path: str, memo_words: int = 100_000):
         words, w, ids, k = table.value
         w, k = w.tolist(), k.tolist()
-        self.table = _Table((words[a:b], ids[c:d]) for a, b, c, d in zip(w, w[1:], k, k[1:], strict=False))
-        self.table.extra, self.memo_words, self.words = {}, memo_words, Words(path)
+        self.table = {words[a:b]: ids[c:d] for a, b, c, d in zip(w, w[1:], k, k[1:], strict=False)}
+        self.memo, self.memo_words, self.words = {}, memo_words, Words(path)
 
     def run(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The packed ids of each text."""
-        table, extra = self.table, self.table.extra
-        if len(extra) > self.memo_words:
-            extra.clear()
+        """The packed ids of each text. Words are looked up once; places that the table leaves open are filled in."""
+        get = self.table.get
         split = [t.split() for t in texts]
-        unknown = [w for w in set(filterfalse(table.__contains__, chain.from_iterable(split))) if w not in extra]
-        if unknown:
-            parts = {w: self.words.parts(w) for w in unknown}
-            rest = list({x for p in parts.values() for x in p if x not in table and x not in extra})
-            extra.update(zip(rest, self.words.encode(rest), strict=True))
-            extra.update({w: b"".join(map(table.__getitem__, p)) for w, p in parts.items() if len(p) > 1})
-        for words in split:
-            yield b"".join(map(table.__getitem__, words))
+        found = [list(map(get, words)) for words in split]
+        open_ = [[k for k, ids in enumerate(row) if ids is None] for row in found]
+        self._learn({words[k] for words, places in zip(split, open_, strict=True) for k in places})
+        memo = self.memo
+        for words, row, places in zip(split, found, open_, strict=True):
+            for k in places:
+                row[k] = memo[words[k]]
+            yield b"".join(row)
+
+    def _learn(self, unknown: set[bytes]) -> None:
+        table, memo = self.table, self.memo
+        if len(memo) > self.memo_words:
+            memo.clear()
+        unknown -= memo.keys()
+        parts = {w: p for w in unknown if w[-1] in _ENDS and (p := self.words.parts(w))}
+        rest = [w for w in {*(unknown - parts.keys()), *(x for p in parts.values() for x in p)} if w not in table and w not in memo]
+        memo.update(zip(rest, self.words.encode(rest), strict=True))
+        for w, (stem, end) in parts.items():
+            memo[w] = (table.get(stem) or memo[stem]) + (table.get(end) or memo[end])
 
 
 def runs(texts: Iterator[bytes | None], run_bytes: int = 4 << 20) -> Iterator[list[bytes]]:
