@@ -75,7 +75,7 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _runs(texts: pa.Array, run_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _runs(texts: pa.Array, run_bytes: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     at, out, size = 0, [], 0
     for k, t in enumerate(texts):
         out.append(t.as_py() or b"")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -72,8 +72,9 @@ def word_ngrams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([owner, owner[1:][pair]]), buckets(np.concatenate([token, pairs]), bits)
 
 
-def runs_of(texts: list[str | None], run_chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first number, texts): consecutive texts of about run_chars together; null is empty."""
+def runs_of(texts: Iterable[str | None], run_chars: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
+    """(first number, texts): consecutive texts of about run_chars together; null is empty. The arrays made from a run
+    take some 100 bytes a character."""
     at, out, size = 0, [], 0
     for k, t in enumerate(texts):
         out.append(t or "")

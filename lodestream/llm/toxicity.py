@@ -105,18 +105,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     return model.fit(buckets, y)
 
 
+def _scores(texts: pa.Array, model) -> np.ndarray:
+    """Texts leave Arrow a run at a time, so that a task holds few of them as Python strings."""
+    out = np.zeros(len(texts))
+    for at, run in tf.runs_of(x.as_py() for x in texts):
+        out[at : at + len(run)] = model.score(run)
+    return out
+
+
 def score(docs: DataFrame, model, folds: int, held_out: int, threshold: float = 0.7) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, score, predicted. model: anything with score(texts)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = np.zeros(len(f))
-            for at, texts in tf.runs_of(f["text"].tolist()):
-                out[at : at + len(texts)] = shared.value.score(texts)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), shared.value))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -126,9 +131,6 @@ def select_rows(docs: DataFrame, model, keep) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros(b.num_rows)
-            for at, texts in tf.runs_of(b.column(at_text).to_pylist()):
-                out[at : at + len(texts)] = shared.value.score(texts)
-            yield b.filter(pa.array(keep(out)))
+            yield b.filter(pa.array(keep(_scores(b.column(at_text), shared.value))))
 
     return docs.mapInArrow(run, docs.schema)
