@@ -128,8 +128,10 @@ class Encoder:
 
     def __init__(self, table: Broadcast, path: str, memo_words: int = 100_000):
         words, w, ids, k = table.value
-        w, k = w.tolist(), k.tolist()
-        self.table = {words[a:b]: ids[c:d] for a, b, c, d in zip(w, w[1:], k, k[1:], strict=False)}
+        self.table = {}
+        for at in range(0, len(w) - 1, 1 << 15):
+            cuts = zip(*(x[a : a + (1 << 15)].tolist() for x in (w, k) for a in (at, at + 1)), strict=False)
+            self.table.update((words[a:b], ids[c:d]) for a, b, c, d in cuts)
         self.memo, self.memo_words, self.words = {}, memo_words, Words(path)
 
     def run(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -157,7 +159,7 @@ class Encoder:
             memo[w] = (table.get(stem) or memo[stem]) + (table.get(end) or memo[end])
 
 
-def runs(texts: Iterator[bytes | None], run_bytes: int = 4 << 20) -> Iterator[list[bytes]]:
+def runs(texts: Iterator[bytes | None], run_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
     """Consecutive texts, about run_bytes together; a longer text stands alone."""
     out, size = [], 0
     for t in texts:
