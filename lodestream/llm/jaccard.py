@@ -107,7 +107,10 @@ class _Rule:
         return n - self.needed(n)
 
     def head(self, n: int) -> int:
-        return self.spare(n) and self.spare(n) + max(1, int(self.spare(n) * self.extra))
+        """None where sets of n link with no other size; a set that may lack nothing still links with one that has a shingle more."""
+        if n * (self.den - self.num) < self.num:
+            return 0
+        return self.spare(n) + max(1, int(self.spare(n) * self.extra))
 
     def head_shared(self, n: Column) -> Column:
         """Shingles at least that the head of a set of n shares with the head of any partner, which has needed(n) or more."""

@@ -96,6 +96,16 @@ def test_jaccard_against_brute_force(spark, words, num, extra):
     assert got == brute_components([(5 + k, t) for k, t in enumerate(texts)], words, num, 100)
 
 
+@pytest.mark.parametrize("words,num,n", [(3, 90, 11), (5, 80, 8)])
+def test_jaccard_of_the_shortest_sets_that_link(spark, words, num, n):
+    # a word more at either end of a text that may itself lack no shingle; the first text is the bridge of the others
+    text = [f"w{k}" for k in range(n)]
+    texts = [" ".join(t) for t in (text, [*text, "end"], ["start", *text], text[1:], [f"v{k}" for k in range(n)], [f"v{k}" for k in range(n + 1)])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts, 5), words, num, 100).collect()}
+    assert got == brute_components([(5 + k, t) for k, t in enumerate(texts)], words, num, 100)
+    assert got[6][1] == got[7][1] == 5 and got[10][1] == 9
+
+
 def test_jaccard_without_broadcast_and_empty(spark):
     texts = near_copies(random.Random(2), 25, 80, 3)
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(spark, texts), broadcast_ids=0).collect()}
