@@ -36,17 +36,25 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(words(host, r"\.", "h:"), words(F.lower(path), r"[/._-]", "p:"), F.transform(names, lambda x: F.concat(F.lit("q:"), F.lower(x)))))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, min_lift: float = 1.5, max_rows: int = 50_000, max_rules: int = 5_000) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, min_lift: float = 1.5, max_rows: int = 50_000) -> DataFrame:
     """labelled (page_id, tokens, bad) -> (rule_id, tokens, confidence, support). The fit takes at most max_rows
-    rows, by hash of page_id; the max_rules rules of greatest confidence, support and text are kept."""
+    rows, by hash of page_id."""
     sample = labelled.orderBy(F.xxhash64("page_id"), "page_id").limit(max_rows)
     items = sample.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=16).fit(items)
     rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), F.array_join("tokens", "\x00")).limit(max_rules)
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     return rules.withColumn("rule_id", F.xxhash64("tokens"))
 
 
+def shortest(rules: DataFrame) -> DataFrame:
+    """Without the rules that are another rule and one token more. What is left fits the same urls: of the rules that fit
+    one, a smallest is left."""
+    fewer = F.transform("tokens", lambda x: F.array_remove("tokens", x))
+    longer = rules.select(F.col("tokens").alias("longer"), F.explode(fewer).alias("tokens")).join(rules, "tokens", "left_semi")
+    return rules.join(longer.select(F.col("longer").alias("tokens")).distinct(), "tokens", "left_anti")
+
+
 def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (url, tokens) -> the distinct urls that some rule fits, through an inverted index on each rule's rarest token."""
     freq = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -74,9 +82,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RU
     bad = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
     tokens = tokens_of(F.col("url"), F.col("host"), F.col("path"))
     scratch = Scratch(pages.sparkSession, "urls")
-    mined = scratch.cut(mine(pages.join(bad, "page_id").select("page_id", tokens.alias("tokens"), "bad"), **options), "rules")
+    mined = scratch.cut(mine(pages.join(bad, "page_id").select("page_id", tokens.alias("tokens"), "bad"), **options), "mined")
+    rules_left = scratch.cut(shortest(mined), "rules")
     urls = pages.filter("host <> ''").select("url", "host", "path").distinct().select("url", tokens.alias("tokens"))
-    blocked = match(urls, mined).withColumn("_blocked", F.lit(True))
+    blocked = match(urls, rules_left).withColumn("_blocked", F.lit(True))
     rule = host_rule(F.col("host"), F.col("path"), rules)
     out = pages.join(blocked, "url", "left").withColumn("_rule", rule)
     return out.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.when(F.col("_blocked"), "block").otherwise("allow")).alias("verdict"))

@@ -261,6 +261,21 @@ def test_url_rules_and_mined_rules(spark):
     assert all(got[100 + k][3] == ("block" if k % 2 else "allow") for k in range(200))
 
 
+def test_a_long_url_leaves_the_rules_of_others(spark):
+    # fourteen tokens that go together make 16,383 rules of full confidence; those of "spam" have 0.9
+    long = lambda k: "https://x.biz/?" + "&".join(f"k{j}={k}" for j in range(12))
+    rows = [(k, long(k), 0) for k in range(10)]
+    rows += [(100 + k, f"https://s{k}.org/spam/{k}", int(k % 10 == 0)) for k in range(40)] + [(200 + k, f"https://s{k}.org/fine/{k}", 1) for k in range(100)]
+    new = [(900, long(99)), (901, "https://new.org/spam/1"), (902, "https://new.org/fine/1")]
+    df = spark.createDataFrame([r[:2] for r in rows] + new, "page_id long, url string")
+    labels = spark.createDataFrame([(k, good, 0) for k, _, good in rows], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, labels, min_support=0.05).collect()}
+    assert [got[k] for k in (900, 901, 902)] == ["block", "block", "allow"]
+    rules = [["a"], ["a", "b"], ["a", "b", "c"], ["b", "c"], ["c", "d", "e"]]
+    left = url_filter.shortest(spark.createDataFrame([(r,) for r in rules], "tokens array<string>")).collect()
+    assert sorted(r.tokens for r in left) == [["a"], ["b", "c"], ["c", "d", "e"]]
+
+
 def test_urls_without_labels_or_pages(spark):
     df = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
