@@ -1,13 +1,18 @@
 """BPE encoding through a distinct-word table, and decoding through an id-to-piece table.
 
-Words are the runs between ASCII white space; for a vocabulary whose pre-tokenizer never crosses white
-space and whose normalizer leaves it alone, the ids of a text are the ids of its words in order. Words
-are counted in Spark, the `table_words` most frequent are encoded once and their ids are joined back by
-position in one scan of the texts (a broadcast of proven size, so that no text or word list is shuffled).
-Any other word is split into stem and end punctuation, which are looked up, or else is encoded where it
-stands, once in a task while its memo has room. The result never depends on what the table holds.
-
-Defined results: a null text is empty; an empty text has no ids. Repeated rows give repeated rows.
+1. Texts are split into words in Spark tasks: at ASCII white space, and where ASCII letters, digits and
+   punctuation meet, which are pre-token boundaries wherever nothing else is near. Words are counted by
+   aggregation; the table holds every distinct word of the corpus, and each is encoded exactly once.
+2. The most frequent words, a number with a proven size, are broadcast; their ids are put in by position
+   in the scan. Every other position is a hole: its word is joined with the table by the word's bytes,
+   and the ids come back to the run of texts that asked for them and fill its holes in order.
+3. Ids meet their pieces by position in the broadcast id-to-piece table.
+
+What words a vocabulary allows is tried at the start on texts of all kinds; one that fails (a normalizer
+or pre-tokenizer that looks across words, a decoder of another kind) is used on whole texts instead.
+
+Defined results: a null text is empty; an empty text has no ids. Repeated rows give repeated rows, a null
+doc_id stays null, other columns are left alone. A text of any length is worked on in segments.
 """
 
 from __future__ import annotations
@@ -15,21 +20,42 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import uuid
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, bucket_of, buckets, release_memory
+from .text_features import SPACE, segments, token_hashes
+
 #: Letters, ASCII or Latin-1, alone.
 _PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-#: Punctuation that ends words. No apostrophe, which begins contractions, and nothing that special tokens are written with.
-_ENDS = b'.,!?;:*&$%#@+=~^/()[]{}"-'
+#: Longer words are never broadcast, which bounds the broadcast's bytes.
+_LONGEST = 64
+
+#: Kinds of bytes: white space, letter, digit, punctuation, and what is never parted from its neighbours (beyond ASCII,
+#: apostrophes, which begin contractions, and what special tokens are written with).
+_BLANK, _LETTER, _DIGIT, _PUNCT, _GLUE = range(5)
+_KIND = np.full(256, _GLUE, np.uint8)
+for _kind, _bytes in ((_BLANK, b" \t\n\x0b\x0c\r"), (_DIGIT, b"0123456789"), (_PUNCT, b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")):
+    _KIND[list(_bytes)] = _kind
+_KIND[ord("a") : ord("z") + 1] = _KIND[ord("A") : ord("Z") + 1] = _LETTER
+
+#: Texts on which a vocabulary is tried.
+_TRIALS = (
+    "Plain words, UPPER and mIxEd; digits 2024 and 3.14, 5th x86_64!?! (a)[b]{c}",
+    "it's they'll 'quoted' don't''s &'t /'re \"said\" end.'s",
+    "é e\u0301 T\u0308o H\u0331 \u212bngstr\u00f6m \u0130stanbul Ω\u03a3 stra\u00dfe 5\u0301 =\u0338 a\u0338",
+    "tab\tline\nfeed\r\n\x0b\x0c  two  spaces \u00a0nbsp\u3000wide \u4f60\u597d, \u4e16\u754c! \U0001f600\U0001f600",
+    "<|endoftext|>x <|ENDOFTEXT|> <|startoftext|>,y a<|endoftext|>b </w> a</w>b ## ### </turn>",
+    "https://example.com/a-b_c?d=e&f=%20#g user@host.org C:\\dir\\file.txt $1,000.00 -5 +7 1e-9 ...---===",
+)
 
 
 def tokenizer(path: str):
@@ -42,6 +68,86 @@ def tokenizer(path: str):
     return t
 
 
+def split_words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first, last) of the words of texts joined by line feeds. A-Z are lower-cased, but for letters that a byte
+    beyond ASCII follows, as they may compose with it, and words with `<|`, which begins special tokens."""
+    if joined.isascii():
+        b = np.frombuffer(joined.lower(), np.uint8)
+    else:
+        b = np.frombuffer(joined, np.uint8)
+        upper = (b >= 65) & (b <= 90)
+        upper[:-1] &= b[1:] < 128
+        b = b + (upper.view(np.uint8) << np.uint8(5))
+    at = joined.find(b"<|")
+    if at >= 0:
+        b = b.copy()
+        while at >= 0:
+            end = m.start() if (m := SPACE.search(joined, at)) else len(joined)
+            begin = at
+            while begin and joined[begin - 1] not in b" \t\n\x0b\x0c\r":
+                begin -= 1
+            b[begin:end] = np.frombuffer(joined[begin:end], np.uint8)
+            at = joined.find(b"<|", end)
+    kind = _KIND[b]
+    glue, blank = kind == _GLUE, kind == _BLANK
+    cut = kind[1:] != kind[:-1]
+    cut &= ~((glue[1:] | glue[:-1]) & ~(blank[1:] | blank[:-1]))
+    edge = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(b)]])
+    first, last = edge[:-1], edge[1:]
+    word = ~blank[first] if len(b) else np.zeros(1, bool)
+    return b, first[word], last[word]
+
+
+def _gather(source: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """source[start : start + count] for every entry in a row, and where each begins (one entry more)."""
+    begins = np.concatenate([[0], np.cumsum(count)])
+    return source[np.arange(begins[-1]) + np.repeat(start - begins[:-1], count)], begins
+
+
+def _binary(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def word_counts(texts: DataFrame, run_bytes: int = 1 << 22) -> DataFrame:
+    """texts (text) -> (word, n) of every distinct word; each task counts runs of texts before Spark aggregates."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in segments((x.as_py() for x in batch.column(0).cast(pa.binary())), run_bytes, SPACE):
+                # short words are told apart by hashes within the run, long ones by their bytes
+                pieces, long, at = [], Counter(), 0
+                for joined in _joined(run):
+                    b, first, last = split_words(joined)
+                    more = last - first > _LONGEST
+                    long.update(b[i:j].tobytes() for i, j in zip(first[more].tolist(), last[more].tolist(), strict=True))
+                    first, last = first[~more], last[~more]
+                    pieces.append((token_hashes(b, first, last), b, first, last))
+                _, where, n = np.unique(np.concatenate([x[0] for x in pieces]), return_index=True, return_counts=True)
+                order = np.argsort(where)
+                where, n = where[order], n[order]
+                for h, b, first, last in pieces:
+                    lo, hi = np.searchsorted(where, [at, at + len(h)])
+                    mine = where[lo:hi] - at
+                    yield pa.RecordBatch.from_arrays([_binary(*_gather(b, first[mine], last[mine] - first[mine])), pa.array(n[lo:hi], pa.int64())], ["word", "n"])
+                    at += len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(list(long), pa.binary()), pa.array(list(long.values()), pa.int64())], ["word", "n"])
+        release_memory()
+
+    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _joined(run: list[tuple[int, bytes]], piece_bytes: int = 1 << 19) -> Iterator[bytes]:
+    out, size = [], 0
+    for _, s in run:
+        out.append(s)
+        size += len(s)
+        if size >= piece_bytes:
+            yield b"\n".join([*out, b""])
+            out, size = [], 0
+    if out:
+        yield b"\n".join([*out, b""])
+
+
 def _byte_letters() -> dict[int, int]:
     """Byte-level vocabularies write a byte that does not print as the next free code point from 256 on."""
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
@@ -73,161 +179,246 @@ class Words:
         rest = iter(self.ids([w for w, p in zip(words, plain, strict=True) if not p]))
         return [self._whole(w) if p else next(rest) for w, p in zip(words, plain, strict=True)]
 
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, bytes] | None:
-        """A word that ends in a letter and then punctuation is those two pre-tokens."""
-        stem = word.rstrip(_ENDS)
-        if len(stem) < len(word) and (stem[-1:].isalpha() or _PLAIN.fullmatch(stem[-2:])):
-            return stem, word[len(stem) :]
-        return None
-
-
-def word_counts(texts: DataFrame, min_in_run: int = 2, run_words: int = 400_000) -> DataFrame:
-    """texts (text) -> (word, n). Each task counts runs of about run_words distinct words and passes on those seen min_in_run times in a run."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in seen.items() if n >= min_in_run]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for x in b.column(0).cast(pa.binary()):
-                if text := x.as_py():
-                    seen.update(text.split())
-                    if len(seen) >= run_words:
-                        yield flush()
-        yield flush()
-
-    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
 
-def word_table(texts: DataFrame, path: str, table_words: int = 1 << 19) -> Broadcast:
-    """The broadcast {word: packed ids} of the table_words most frequent words, each encoded once on the executors."""
-    spark = texts.sparkSession
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(table_words).select("word")
+def splits_into_words(path: str) -> bool:
+    """Whether the ids of the trial texts are the ids of their words in order."""
+    words = Words(path)
+    for text in _TRIALS:
+        b, first, last = split_words(text.encode() + b"\n")
+        if b"".join(words.encode([b[i:j].tobytes() for i, j in zip(first, last, strict=True)])) != words.ids([text.encode()])[0]:
+            return False
+    return True
+
+
+class HotWords:
+    """The broadcast words: sorted hashes, reached through their leading bits, and the ids of each. A hash with the
+    word's length stands for it. The last entry is the hole, a single id that no piece has."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array, n_ids: int):
+        kind = "<u2" if n_ids < 0xFFFF else "<u4"
+        self.hole = int(np.iinfo(kind).max)
+        joined, begins = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1].astype(np.int64)
+        lengths = np.diff(begins)
+        h = np.concatenate([token_hashes(joined[a[0] : a[-1]], a[:-1] - a[0], a[1:] - a[0]) for k in range(0, len(words), 1 << 15) if len(a := begins[k : k + (1 << 15) + 1])] or [np.zeros(0, np.uint64)])
+        flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset :][: len(ids) + 1].astype(np.int64) // 4
+        order = np.argsort(h)
+        self.hash, self.length = h[order], lengths[order].astype(np.uint8)
+        self.count = np.append(np.diff(at)[order], 1).astype(np.int32)
+        values, start = _gather(flat, at[:-1][order], np.diff(at)[order])
+        self.ids, self.start = np.append(values.astype(kind), np.array([self.hole], kind)), start.astype(np.int64)
+        self.bits = max(8, min(20, len(h).bit_length()))
+        self.begin = np.searchsorted(self.hash >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The entry of each word, the hole's for those not here."""
+        lead = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end, out = self.begin[lead], self.begin[lead + 1], np.full(len(h), len(self.hash), np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = (self.hash[here] == h[left]) & (self.length[here] == length[left])
+            out[left[hit]] = here[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+    def codes(self, run: list[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+        """(text number, ids with holes, the words of the holes in order) of each segment."""
+        joined = b"\n".join([*(s for _, s in run), b""])
+        b, first, last = split_words(joined)
+        entry = self.find(token_hashes(b, first, last), last - first)
+        ids, begins = _gather(self.ids, self.start[entry], self.count[entry])
+        holes = np.flatnonzero(entry == len(self.hash))
+        starts = np.concatenate([[0], np.cumsum([len(s) + 1 for _, s in run])])
+        cuts = np.searchsorted(first, starts)
+        of_holes = np.searchsorted(holes, cuts)
+        for k, (number, _) in enumerate(run):
+            mine = holes[of_holes[k] : of_holes[k + 1]]
+            yield number, ids[begins[cuts[k]] : begins[cuts[k + 1]]], [b[i:j].tobytes() for i, j in zip(first[mine].tolist(), last[mine].tolist(), strict=True)]
+
+    def coded(self, texts: Iterator[bytes | None], run_bytes: int = 1 << 18) -> Iterator[tuple[list[int], np.ndarray, dict[bytes, int], list[int]]]:
+        """(number of ids of each text, their ids with holes, distinct hole words by first place, the word of each hole) of
+        runs of whole texts, about run_bytes together."""
+        waiting, size = [], 0
+
+        def flush() -> tuple[list[int], np.ndarray, dict[bytes, int], list[int]]:
+            parts, sizes, words, refs = [], [0] * len(waiting), {}, []
+            for run in segments(waiting, run_bytes, SPACE):
+                for number, ids, holes in self.codes(run):
+                    parts.append(ids)
+                    sizes[number] += len(ids)
+                    refs += [words.setdefault(w, len(words)) for w in holes]
+            return sizes, np.concatenate(parts), words, refs
+
+        for t in texts:
+            waiting.append(t or b"")
+            size += len(waiting[-1])
+            if size >= run_bytes:
+                yield flush()
+                waiting, size = [], 0
+        if waiting:
+            yield flush()
+
+
+def word_table(texts: DataFrame, path: str, scratch: Scratch) -> DataFrame:
+    """(word, n, ids) of every distinct word, each encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Words(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t.encode(b.column(0).to_pylist()), pa.binary())], ["word", "ids"])
-
-    rows = top.repartition(max(12, table_words >> 14)).mapInArrow(encode, "word binary, ids binary").toArrow()
-    # four flat arrays, not half a million objects: quick to send, and read once in each worker
-    flat = []
-    for c in ("word", "ids"):
-        column = rows.column(c).to_pylist()
-        flat += [b"".join(column), np.cumsum([0, *map(len, column)], dtype=np.int64)]
-    return spark.sparkContext.broadcast(flat)
-
-
-class Encoder:
-    """Encodes texts in a task by a word table; other words are kept, at most `memo_words` of them, for later runs."""
-
-    def __init__(self, table: Broadcast, path: str, memo_words: int = 100_000):
-        words, w, ids, k = table.value
-        self.table = {}
-        for at in range(0, len(w) - 1, 1 << 15):
-            cuts = zip(*(x[a : a + (1 << 15)].tolist() for x in (w, k) for a in (at, at + 1)), strict=False)
-            self.table.update((words[a:b], ids[c:d]) for a, b, c, d in cuts)
-        self.memo, self.memo_words, self.words = {}, memo_words, Words(path)
-
-    def run(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The packed ids of each text. Words are looked up once; places that the table leaves open are filled in."""
-        get = self.table.get
-        split = [t.split() for t in texts]
-        found = [list(map(get, words)) for words in split]
-        open_ = [[k for k, ids in enumerate(row) if ids is None] for row in found]
-        self._learn({words[k] for words, places in zip(split, open_, strict=True) for k in places})
-        memo = self.memo
-        for words, row, places in zip(split, found, open_, strict=True):
-            for k in places:
-                row[k] = memo[words[k]]
-            yield b"".join(row)
-
-    def _learn(self, unknown: set[bytes]) -> None:
-        table, memo = self.table, self.memo
-        if len(memo) > self.memo_words:
-            memo.clear()
-        unknown -= memo.keys()
-        parts = {w: p for w in unknown if w[-1] in _ENDS and (p := self.words.parts(w))}
-        rest = [w for w in {*(unknown - parts.keys()), *(x for p in parts.values() for x in p)} if w not in table and w not in memo]
-        memo.update(zip(rest, self.words.encode(rest), strict=True))
-        for w, (stem, end) in parts.items():
-            memo[w] = (table.get(stem) or memo[stem]) + (table.get(end) or memo[end])
-
-
-def runs(texts: Iterator[bytes | None], run_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Consecutive texts, about run_bytes together; a longer text stands alone."""
-    out, size = [], 0
-    for t in texts:
-        out.append(t or b"")
-        size += len(out[-1])
-        if size >= run_bytes:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(table: Broadcast, path: str, name: str) -> Encoder:
-    """One for each worker and table; name tells tables apart."""
-    if name not in _encoders:
-        _encoders.clear()
-        _encoders[name] = Encoder(table, path)
-    return _encoders[name]
-
-
-def pieces(path: str) -> list[bytes]:
-    """The id-to-piece table."""
-    t = tokenizer(path)
-    vocab = t.get_vocab(with_added_tokens=True)
-    out = [b""] * (max(vocab.values()) + 1)
-    for piece, i in vocab.items():
-        out[i] = piece.encode()
-    return out
-
-
-def decode(ids: bytes, table: list[bytes]) -> bytes:
-    """For a vocabulary file without a decoder: pieces joined by single spaces."""
-    return b" ".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t.encode(b.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
+        release_memory()
+
+    return scratch.cut(word_counts(texts).mapInArrow(encode, "word binary, n long, ids binary"), "words")
+
+
+def hot_words(table: DataFrame, path: str, most: int = 1 << 20) -> tuple[Broadcast, DataFrame]:
+    """The broadcast of at most `most` words of at most 64 bytes, all that occur at least so and so often; the rest of the table."""
+    short = F.octet_length("word") <= _LONGEST
+    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
+    least, held = (1 << 63) - 1, 0
+    for r in sorted(table.filter(short).groupBy(step.alias("least")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["least"]):
+        held += r["words"]
+        if held > most:
+            break
+        least = r["least"]
+    hot = short & (F.col("n") >= least)
+    rows = table.filter(hot).select("word", "ids").toArrow().combine_chunks()
+    columns = [c.chunk(0) if c.num_chunks else pa.array([], pa.binary()) for c in (rows.column("word"), rows.column("ids"))]
+    shared = table.sparkSession.sparkContext.broadcast(HotWords(*columns, tokenizer(path).get_vocab_size(with_added_tokens=True)))
+    return shared, table.filter(~hot).select("word", "ids")
+
+
+def encoded(docs: DataFrame, path: str, finish: Callable[[], Callable], schema: str, most: int = 1 << 20) -> DataFrame:
+    """docs (doc_id, text) -> rows of schema. finish() is called in a task and returns a function from (doc_ids, packed
+    little-endian unsigned 32-bit ids of each) to a record batch. most: words that are broadcast at most."""
+    docs = docs.select("doc_id", "text")
+    if not splits_into_words(path):
+        return docs.mapInArrow(_whole_texts(path, finish), schema)
+    scratch = Scratch(docs.sparkSession, "bpe")
+    table = word_table(docs, path, scratch)
+    hot, rare = hot_words(table, path, most)
+
+    n_buckets = buckets(docs.sparkSession)
+
+    def numbers(part: int) -> Iterator[int]:
+        """Run numbers of a task, all of one bucket: the runs are written in buckets without being shuffled."""
+        for at in range(part << 32, (part + 1) << 32, 16 * n_buckets):
+            ids = np.arange(at, at + 16 * n_buckets)
+            yield from ids[bucket_of(ids, n_buckets) == part % n_buckets].tolist()
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd, number = pa.Codec("zstd", compression_level=3), numbers(TaskContext.get().partitionId())
+        for batch in batches:
+            at = 0
+            for sizes, ids, words, refs in hot.value.coded(x.as_py() for x in batch.column(1).cast(pa.binary())):
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                packed = [pa.array([zstd.compress(x.tobytes(), asbytes=True)], pa.binary()) for x in (ids, np.array(refs, "<u4"))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([next(number)]), one(batch.column(0).slice(at, len(sizes))), one(pa.array(sizes, pa.int64())), *packed, pa.array([len(refs)]), one(pa.array(list(words), pa.binary()))],
+                    ["run", "doc_ids", "sizes", "codes", "refs", "holes", "words"],
+                )
+                at += len(sizes)
+        release_memory()
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    runs = docs.mapInArrow(code, f"run long, doc_ids array<{id_type}>, sizes array<long>, codes binary, refs binary, holes long, words array<binary>")
+    runs = scratch.cut_bucketed(runs, "run")
+    # the ids of the holes' words, each asked for once in a run
+    asked = runs.select("run", F.posexplode("words").alias("at", "word")).join(rare, "word", "left")
+    answers = asked.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("a")).select("run", F.transform("a", lambda a: a["ids"]).alias("answers"))
+    answers = scratch.cut(answers, "answers").hint("shuffle_hash")
+    whole = runs.drop("words").join(answers, "run", "left").select("doc_ids", "sizes", "codes", "refs", "holes", "answers")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, zstd, hole, kind = finish(), pa.Codec("zstd"), hot.value.hole, hot.value.ids.dtype
+        unpack = lambda x, n, kind: np.frombuffer(zstd.decompress(x.as_buffer(), n * kind.itemsize), kind) if n else np.zeros(0, kind)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc_ids, sizes, codes, refs, holes, answers = (c[k] for c in batch.columns)
+                ends = np.cumsum(sizes.values.to_numpy())
+                codes = unpack(codes, int(ends[-1]), kind)
+                ids, begins = filled(codes, codes == hole, unpack(refs, holes.as_py(), np.dtype("<u4")), answers)
+                raw, cuts = ids.tobytes(), [0, *(begins[ends] * 4).tolist()]
+                yield done(doc_ids.values, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        release_memory()
+
+    return whole.mapInArrow(fill, schema)
+
+
+def filled(codes: np.ndarray, holes: np.ndarray, refs: np.ndarray, answers: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with every hole's put in, and where each code's begin (one entry more)."""
+    width = np.ones(len(codes), np.int64)
+    if len(refs):
+        words = [np.frombuffer(x, "<u4") for x in answers.as_py()]  # a word that the table lacks would be None and fail here
+        count = np.fromiter((len(w) for w in words), np.int64, len(words))
+        width[holes] = count[refs]
+    begins = np.concatenate([[0], np.cumsum(width)])
+    out = np.repeat(codes.astype("<u4"), width)
+    if len(refs):
+        values, at = _gather(np.concatenate(words), (np.cumsum(count) - count)[refs], count[refs])
+        out[np.arange(len(values)) + np.repeat(begins[:-1][holes] - at[:-1], count[refs])] = values
+    return out, begins
+
+
+def _whole_texts(path: str, finish: Callable[[], Callable]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, words = finish(), Words(path)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for at in range(0, batch.num_rows, 64):
+                part = texts.slice(at, 64)
+                yield done(batch.column(0).slice(at, 64), words.ids([x.as_py() or b"" for x in part]))
+
+    return run
+
+
+def encode_documents(docs: DataFrame, path: str, **options) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, ids binary): packed little-endian unsigned 32-bit ids."""
+    done = lambda doc_ids, ids: pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
+    return encoded(docs, path, lambda: done, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary", **options)
 
 
-def encode_documents(docs: DataFrame, path: str, table_words: int = 1 << 19) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, ids binary): packed little-endian unsigned 32-bit ids."""
-    table, name = word_table(docs, path, table_words), uuid.uuid4().hex
+class Pieces:
+    """The id-to-piece table. A vocabulary file without a decoder joins pieces by single spaces, which is tried; one
+    with a decoder decodes whole texts itself."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(table, path, name)
-        for b in batches:
-            texts, at = b.column(1).cast(pa.binary()), 0
-            for run in runs(x.as_py() for x in texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), pa.array(list(e.run(run)), pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
-                at += len(run)
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.pieces = [b""] * (max(vocab.values()) + 1)
+        for piece, i in vocab.items():
+            self.pieces[i] = piece.encode()
+        tried = [*self.tokenizer.encode(" ".join(_TRIALS), add_special_tokens=False).ids, 0, 0]
+        self.plain = self.tokenizer.decode(tried, skip_special_tokens=False).encode() == b" ".join(self.pieces[i] for i in tried)
+
+    def decode(self, ids: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+        """The decoded text in parts."""
+        numbers = np.frombuffer(ids, "<u4")
+        if not self.plain:
+            yield self.tokenizer.decode(numbers.tolist(), skip_special_tokens=False).encode()
+            return
+        for at in range(0, len(numbers), step):
+            yield (b" " if at else b"") + b" ".join(map(self.pieces.__getitem__, numbers[at : at + step].tolist()))
+
+
+def digest(docs: DataFrame, path: str, **options) -> DataFrame:
+    """Counts and hashes of ids and of the text decoded from them; ids and decoded text leave a task only as hashes."""
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+    def finish() -> Callable:
+        pieces = Pieces(path)
 
+        def done(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+            decoded = []
+            for x in ids:
+                h = hashlib.sha256()
+                for part in pieces.decode(x):
+                    h.update(part)
+                decoded.append(h.hexdigest())
+            return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-def digest(docs: DataFrame, path: str, table_words: int = 1 << 19) -> DataFrame:
-    """Counts and hashes of ids and of the text decoded from them; ids and decoded text leave a task only as hashes."""
-    table, name = word_table(docs, path, table_words), uuid.uuid4().hex
+        return done
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, piece = encoder(table, path, name), pieces(path)
-        for b in batches:
-            texts, at = b.column(1).cast(pa.binary()), 0
-            for run in runs(x.as_py() for x in texts):
-                n, coded, decoded = [], [], []
-                for ids in e.run(run):
-                    n.append(len(ids) // 4)
-                    coded.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(hashlib.sha256(decode(ids, piece)).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                at += len(run)
-
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, path, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", **options)

@@ -35,31 +35,21 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import connected_components
-from .text_features import _BASE, _MUL, mix
-
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out, done = np.ones(n, np.uint64), 1
-    with np.errstate(over="ignore"):
-        while done < n:
-            take = min(done, n - done)
-            out[done : done + take] = out[:take] * (out[done - 1] * base)
-            done += take
-    return out
+from .text_features import _MUL, SPACE, mix, segments, token_hashes
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    joined = np.frombuffer(b"\n".join([*(t.lower() for t in texts), b""]), np.uint8)
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    printing = ~((joined == 32) | (joined >= 9) & (joined <= 13))
-    edge = np.flatnonzero(np.diff(printing.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    first, last = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(joined)), dtype=np.uint64)])
-    token = mix((total[last] - total[first]) * _powers(_INVERSE, len(joined) + 1)[first])
-    cuts = np.searchsorted(first, starts)
+    """The sorted distinct shingle hashes of each text. Words are hashed in segments of a long text."""
+    tokens, counts = [], np.zeros(len(texts), np.int64)
+    for run in segments(texts, 1 << 19, SPACE):
+        joined = np.frombuffer(b"\n".join([*(t.lower() for _, t in run), b""]), np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in run])])
+        printing = ~((joined == 32) | (joined >= 9) & (joined <= 13))
+        edge = np.flatnonzero(np.diff(printing.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        first, last = edge[::2], edge[1::2]
+        tokens.append(token_hashes(joined, first, last))
+        np.add.at(counts, [k for k, _ in run], np.diff(np.searchsorted(first, starts)))
+    token, cuts = np.concatenate(tokens or [np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(counts)])
     h = np.zeros(max(len(token) - words + 1, 0), np.uint64)
     for k in range(words):
         h = mix(h * _MUL + token[k : len(h) + k] + np.uint64(k))

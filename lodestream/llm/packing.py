@@ -11,9 +11,8 @@ Defined results: a null or empty text is the single id 0. Repeated rows are pack
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,33 +99,33 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return joined.mapInPandas(place, f"{kept}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, table_words: int = 1 << 19) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, **options) -> DataFrame:
     """docs (doc_id, text) -> one row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    docs = docs.select("doc_id", "text")
-    table, name = bpe.word_table(docs, path, table_words), uuid.uuid4().hex
     end = np.uint32(end_id).astype("<u4").tobytes()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, part, ranks = bpe.encoder(table, path, name), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            texts, at = b.column(1).cast(pa.binary()), 0
-            for run in bpe.runs(x.as_py() for x in texts):
-                rows = []
-                for k, ids in enumerate(e.run(run)):
-                    ids += end
-                    n = len(ids) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        length = min(capacity, n - start)
-                        rows.append((at + k, piece, start, length, zlib.crc32(ids[start * 4 : (start + length) * 4]), part, int(ranks[length])))
-                        ranks[length] += 1
-                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                columns[0] = b.column(0).take(columns[0])
-                columns[1] = columns[1].cast(pa.int32())
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"])
-                at += len(run)
-
-    pieces = docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _part long, _rank long")
-    return pack(Scratch(docs.sparkSession, "packing").cut(pieces, "pieces"), capacity)
+    def finish() -> Callable:
+        part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+
+        def cut(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+            rows = []
+            for k, x in enumerate(ids):
+                x += end
+                n = len(x) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - start)
+                    rows.append((k, piece, start, length, zlib.crc32(memoryview(x)[start * 4 : (start + length) * 4]), part, int(ranks[length])))
+                    ranks[length] += 1
+            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+            columns[0] = doc_ids.take(columns[0])
+            columns[1] = columns[1].cast(pa.int32())
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"])
+
+        return cut
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, _part long, _rank long"
+    scratch = Scratch(docs.sparkSession, "packing")
+    pieces = scratch.cut(bpe.encoded(docs, path, finish, schema, **options), "pieces")
+    return pack(pieces, capacity)
 
 
 def sequences(placed: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@
 
 Fit: FTRL-proximal passes over at most `max_rows` labelled rows, chosen by hash of doc_id, in that order.
 Features are tokens and pairs of neighbours, each as a share of the text's tokens; a score is the sparse
-dot product with the weights. Defined results: as in toxicity.
+dot product with the weights.
+
+Defined results: null and empty texts have no n-grams and score the bias alone; repeated rows score alike; a
+null doc_id is never used to fit and counts as not held out; without labels of both classes the score is the
+share of label 1, or 0 without labels. A text of any length is scored whole, in segments cut behind a blank;
+other columns of the documents are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import text_features as tf
+from .common import release_memory
 from .toxicity import labelled_sample
 
 
@@ -32,8 +38,9 @@ class FollowTheLeader:
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, bucket, value), each pair once."""
-        owner, bucket = tf.word_ngrams(texts, self.bits)
-        key, n = np.unique(owner << self.bits | bucket, return_counts=True)
+        found = [np.unique(owner << self.bits | bucket, return_counts=True) for owner, bucket in tf.word_ngrams(texts, self.bits)]
+        key, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([n for _, n in found]), len(key))
         owner = key >> self.bits
         total = np.bincount(owner, n, len(texts))
         return owner, key & (1 << self.bits) - 1, self.scale * n / total[owner]
@@ -61,9 +68,11 @@ class FollowTheLeader:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The values are shares of counts, so the dot product is a mean over all n-grams; none needs sorting."""
-        owner, bucket = tf.word_ngrams(texts, self.bits)
-        total = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-        return tf.sigmoid(self.scale * np.bincount(owner, self.weights[bucket], len(texts)) / total + self.bias)
+        total, dot = np.zeros(len(texts)), np.zeros(len(texts))
+        for owner, bucket in tf.word_ngrams(texts, self.bits):
+            total += np.bincount(owner, minlength=len(texts))
+            dot += np.bincount(owner, self.weights[bucket], len(texts))
+        return tf.sigmoid(self.scale * dot / np.maximum(total, 1) + self.bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, max_rows: int = 6000, **options) -> FollowTheLeader:
@@ -76,6 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
                 cut = np.searchsorted(owner, np.arange(1, len(run)))
                 part = f.iloc[at : at + len(run)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["_label"].to_numpy(), "ids": [x.astype("<u4").tobytes() for x in np.split(bucket, cut)], "values": [x.astype("<f4").tobytes() for x in np.split(value, cut)]})
+        release_memory()
 
     rows = labelled_sample(docs, labels, label, folds, held_out, max_rows).mapInPandas(features, "doc_id long, y int, ids binary, values binary").toArrow()
     order = np.argsort(tf.mix(rows.column("doc_id").to_numpy().astype(np.uint64)), kind="stable")

@@ -6,7 +6,8 @@ by the log-count ratio, and a logistic regression weighs them. Score: every n-gr
 
 Defined results: null and empty texts score as texts without n-grams; repeated rows score alike; a null
 doc_id is never used to fit and counts as not held out; without labels of both classes the score is the
-share of label 1, or 0 without labels.
+share of label 1, or 0 without labels. A text of any length is scored whole, in overlapping segments; other columns of
+the documents are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_features as tf
-from .common import fold
+from .common import fold, release_memory
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int) -> DataFrame:
@@ -45,7 +46,7 @@ class NaiveBayesLinear:
         found = []
         for owner, bucket in tf.char_ngrams(texts, self.orders, self.bits):
             key = owner << self.bits | bucket
-            found.append(key[self.weights[bucket] != 0] if len(self.weights) else key)
+            found.append(np.unique(key[self.weights[bucket] != 0] if len(self.weights) else key))
         key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return key >> self.bits, key & (1 << self.bits) - 1
 
@@ -98,6 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
                 cut = np.searchsorted(owner, np.arange(1, len(run)))
                 part = f.iloc[at : at + len(run)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["_label"].to_numpy(), "ids": [x.astype("<u4").tobytes() for x in np.split(bucket, cut)]})
+        release_memory()
 
     rows = labelled_sample(docs, labels, label, folds, held_out, max_rows).mapInPandas(features, "doc_id long, y int, ids binary").toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy().astype(float)
@@ -120,8 +122,9 @@ def score(docs: DataFrame, model, folds: int, held_out: int, threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), shared.value))], ["doc_id", "score"])
+        release_memory()
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -132,5 +135,6 @@ def select_rows(docs: DataFrame, model, keep) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(keep(_scores(b.column(at_text), shared.value))))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
