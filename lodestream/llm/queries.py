@@ -22,14 +22,15 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     messages = Scratch(spark, "turns").cut(chat.linear_messages(rows), "messages")
-    return chat.digest(chat.format_trees(messages))
+    return chat.digest(chat.format_trees(messages, unique=True))
 
 
 OP2_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL
 ), c AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
@@ -39,7 +40,7 @@ WITH t AS (
         - length(replace(role, '\', '')) - length(replace(role, '<', '')) - length(replace(text, '\', '')) - length(replace(text, '<', ''))
         + length(role) - length(replace(role, '#', '')) + length(text) - length(replace(text, '#', ''))
         + 2 * length(role) - length(replace(role, ':', '')) - length(replace(role, chr(10), ''))) AS chars
-  FROM t GROUP BY conv_id
+  FROM t GROUP BY conv_id, own
 )
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
        sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars
