@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import queries
 from lodestream.llm.components import connected_components
-from lodestream.llm.common import Scratch
+from lodestream.llm.common import Scratch, bucket_of
 
 from .. import oracle
 
@@ -49,6 +51,12 @@ def test_near_copies_keep_one_row_of_an_id(spark):
     assert sorted((r.doc_id for r in got), key=str) == [1, 3, 4, None]
 
 
+def test_buckets_are_those_of_spark(spark):
+    ids = [0, 1, -1, 7, 1 << 32, (5 << 32) + 3, (1 << 63) - 1, -(1 << 63), *range(1000, 1100)]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.pmod(F.hash("id"), F.lit(51)).alias("b")).collect()
+    assert {r.id: r.b for r in got} == dict(zip(ids, bucket_of(np.array(ids), 51).tolist(), strict=True))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 300)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 4000), (4000, 5000), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "cc")).collect()}

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.llm import bpe, chat, jaccard, line_dedup, packing, quality, toxicity, url_filter
+from lodestream.llm.common import Scratch
 from lodestream.llm.queries import word_bpe
+from lodestream.llm.text_features import SPACE, segments
 
 DOCS = "doc_id long, text string, lang string, component_id int, n_lines int"
 
@@ -53,6 +55,36 @@ def test_lines_repeated_rows_and_null_ids(spark):
     assert line_dedup.digest(docs(spark, [])).count() == 0
 
 
+def test_lines_leave_clashing_columns_alone(spark):
+    line = "the same long line of more than forty characters"
+    d = spark.createDataFrame([(k, f"{line}\n{k}", k, "a", "b", "c", "d") for k in range(6)], "doc_id long, text string, _dropped long, text_id string, n_lines string, gone string, row string")
+    got = line_dedup.dedup_lines(d)
+    assert got.columns == d.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(k, f"{line}\n{k}" if k == 5 else str(k), k, "a", "b", "c", "d") for k in range(6)]
+
+
+def test_runs_depend_on_the_anti_join(spark):
+    # batches of falling ids; b is settled by the second batch, c by the third
+    batches = [[("a", 90), ("b", 91), ("b", 92), ("c", 93)], [("b", 80), ("b", 81), ("c", 80)], [("b", 70), ("c", 71), ("d", 70)], [("b", 60), ("c", 61), ("c", 62), ("d", 60)]]
+    runs = line_dedup.LineRuns(spark, Scratch(spark, "test"), min_docs=3, fanout=3)
+    for rows in batches:
+        runs.add(spark.createDataFrame([(k.encode(), i) for k, i in rows], "key binary, doc_id long"))
+    got = {bytes(r.key): (r.n_docs, r.keeper) for r in runs.totals().collect()}
+    assert got[b"a"] == (1, 90) and got[b"d"] == (2, 70)
+    assert got[b"c"] == (3, 93)  # settled by the first three batches; the fourth adds nothing
+    assert got[b"b"][0] >= 3 and got[b"b"][1] == 92
+    assert sum(len(level) for level in runs.levels) == 2
+    joined = runs.runs()[0].hint("merge").join(runs.runs()[1].select("key").hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in joined
+
+
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"a line of a very long text, of more than forty characters, number {k % 50_000}" for k in range(100_000))
+    texts = [long] + [f"a line of a very long text, of more than forty characters, number {k}" for k in (7, 7, 7, 7)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digest(docs(spark, texts)).collect()}
+    assert got == brute_lines(list(enumerate(texts)))
+
+
 # Jaccard join
 
 
@@ -124,7 +156,7 @@ def test_chat_round_trip(spark):
     odd = ["\\### Assistant: </turn> ok", "### user: a</turn>\n### x: b", None, "", "\\l\\s\\h<#:", "é\n🙂", "</turn>\n"]
     rows = [(c, t, ["user", "assistant", None, "sys: </turn>\n#"][(c + t) % 4], odd[(c * 3 + t) % len(odd)]) for c in range(6) for t in range(c + 1)] + [(None, 0, "user", "x"), (9, 1, "user", "b"), (9, 1, "user", "b"), (9, 1, "assistant", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.digest(chat.format_trees(chat.linear_messages(df))).collect()}
+    got = {r.conv_id: r for r in chat.digest(chat.format_trees(Scratch(spark, "test").cut(chat.linear_messages(df), "messages"))).collect()}
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((t, r, x))
@@ -145,6 +177,44 @@ def test_branches_are_ranked(spark):
     assert best == {"t": "### user: q</turn>\n### assistant: good</turn>\n### user: more</turn>\n", "u": "### user: alone</turn>\n"}
     assert chat.format_trees(df, keep=None).count() == 3
     assert chat.format_trees(df.limit(0)).count() == 0
+    twice = df.unionByName(df).withColumn("leaf", F.lit("clash"))
+    assert {r.tree: r.formatted for r in chat.format_trees(twice).collect()} == best
+
+
+def test_cycles_have_no_paths(spark):
+    rows = [("a", "b"), ("b", "a"), ("c", "a"), ("s", "s"), ("t", "s")] + [(f"n{k}", f"n{k - 1}") for k in range(300)] + [("x", None), ("y", "x"), ("z", "x")]
+    df = spark.createDataFrame([("t", n, p, "user", n, 1.0) for n, p in rows], "tree string, node string, parent string, role string, text string, score double")
+    got = defaultdict(list)
+    for r in chat.paths(df, Scratch(spark, "test")).collect():
+        got[r.leaf].append((r.up, r.node))
+    # n0's parent is missing, so that it is a root
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {"n299": [f"n{k}" for k in range(299, -1, -1)], "y": ["y", "x"], "z": ["z", "x"]}
+
+
+def test_branches_against_brute_force(spark):
+    rng = random.Random(9)
+    parent = {k: (rng.randint(max(0, k - 9), k - 1) if k % 40 else None) for k in range(200)}
+    tree = lambda k: k // 40
+    parent = {k: p if p is not None and tree(p) == tree(k) else (None if k % 40 == 0 else tree(k) * 40) for k, p in parent.items()}
+    score = {k: float(rng.randint(0, 9)) for k in parent}
+    df = spark.createDataFrame([(tree(k), k, p, "user", str(k), score[k]) for k, p in parent.items()], "tree int, node long, parent long, role string, text string, score double")
+    for keep in (1, 3, None):
+        want = {}
+        for t in range(5):
+            walks = []
+            for leaf in (k for k in parent if tree(k) == t and k not in parent.values()):
+                walk = [leaf]
+                while parent[walk[-1]] is not None:
+                    walk.append(parent[walk[-1]])
+                walks.append((-sum(score[k] for k in walk) / len(walk), leaf, walk))
+            want |= {leaf: "".join(f"### user: {k}</turn>\n" for k in reversed(walk)) for _, leaf, walk in sorted(walks)[:keep]}
+        assert {r.leaf: r.formatted for r in chat.format_trees(df, keep=keep).collect()} == want
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = chat.digest(chat.format_trees(Scratch(spark, "test").cut(chat.linear_messages(df), "messages"))).collect()
+    assert sorted((r.conv_id is None, r.n_turns, r.loss_chars) for r in got) == [(True, 1, 0), (True, 1, 0), (True, 1, 1)]
 
 
 # BPE and packing
@@ -157,14 +227,46 @@ def odd_texts(n, seed=1):
     return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(n)] + [None, "", "x " * 5000]
 
 
-@pytest.mark.parametrize("table_words", [30, 1 << 19])
-def test_bpe_equals_the_library(spark, table_words):
+def encoded_by_the_library(t, text):
+    ids = t.encode(text or "", add_special_tokens=False).ids
+    return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("most", [0, 30, 1 << 20])
+def test_bpe_equals_the_library(spark, most):
     texts, t = odd_texts(400), bpe.tokenizer(word_bpe())
-    got = {r.doc_id: r for r in bpe.digest(docs(spark, texts), word_bpe(), table_words).collect()}
+    got = {r.doc_id: r for r in bpe.digest(docs(spark, texts), word_bpe(), most=most).collect()}
     for k, x in enumerate(texts):
-        ids = t.encode(x or "", add_special_tokens=False).ids
-        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
-        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == want
+        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == encoded_by_the_library(t, x)
+
+
+def test_bpe_of_very_long_and_repeated_texts(spark):
+    rng, t = random.Random(3), bpe.tokenizer(word_bpe())
+    long = " ".join("".join(rng.choice("abcé,.1'") for _ in range(rng.randint(1, 9))) for _ in range(250_000))  # over a run and its segments
+    texts = [long, "q" * 300_000, "z9" * 400, "z9" * 400, "z9" * 400]
+    d = docs(spark, texts).unionByName(docs(spark, texts[2:], 2)).unionByName(docs(spark, [texts[2]]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = [(r.doc_id, (r.n_tokens, r.ids_sha256, r.decoded_sha256)) for r in bpe.digest(d, word_bpe(), most=100).collect()]
+    want = [(k, encoded_by_the_library(t, x)) for k, x in enumerate(texts)]
+    assert sorted(got, key=repr) == sorted(want + want[2:] + [(None, want[2][1])], key=repr)
+
+
+def test_words_are_split_in_runs_and_segments_alike():
+    text = " ".join(f"wörd{k},Ab <|Q{k}|>" for k in range(3000)).encode()
+    words = lambda x: [b[i:j].tobytes() for b, f, l in [bpe.split_words(x)] for i, j in zip(f, l, strict=True)]  # noqa: E731, E741
+    cut = [s for run in segments([text], 1000, SPACE) for _, s in run]
+    assert len(cut) > 30 and b"".join(cut) == text and [w for s in cut for w in words(s)] == words(text)
+    assert [[k for k, _ in run] for run in segments([b"ab cd", None, b"", b"e"], 5, SPACE)] == [[0], [1, 2, 3]]
+
+
+def test_a_vocabulary_that_looks_across_words(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not bpe.splits_into_words(path) and bpe.splits_into_words(word_bpe())
+    texts, t = odd_texts(60, 5), bpe.tokenizer(path)
+    got = {r.doc_id: r for r in bpe.digest(docs(spark, texts), path).collect()}
+    for k, x in enumerate(texts):
+        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == encoded_by_the_library(t, x)
 
 
 def test_packing_is_whole_and_tight(spark):
@@ -195,6 +297,53 @@ def test_packing_of_nothing(spark):
     assert packing.pack_documents(docs(spark, []), word_bpe()).count() == 0
 
 
+def test_packing_of_repeated_rows_and_other_columns(spark):
+    rows = [(7, "same words here", "", 0, 0)] * 3 + [(None, "same words here", "", 0, 0), (8, None, "", 0, 0)]
+    d = spark.createDataFrame(rows, DOCS).withColumns({"length": F.lit("clash"), "sequence_id": F.lit("clash")})
+    got = packing.pack_documents(d, word_bpe(), capacity=8).collect()
+    assert sorted((r.doc_id, r.length) for r in got if r.doc_id) == [(7, 4)] * 3 + [(8, 1)] and len(got) == 5
+    assert len({(r.sequence_id, r.offset) for r in got}) == 5 and len({r.sequence_id for r in got}) == 3
+
+
+def best_bins(lengths, capacity):
+    """The fewest bins, by trying every placement."""
+    best = [len(lengths)]
+
+    def place(k, room):
+        if len(room) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(room)
+            return
+        for i in {r: i for i, r in enumerate(room)}.values():
+            if room[i] >= lengths[k]:
+                place(k + 1, [*room[:i], room[i] - lengths[k], *room[i + 1 :]])
+        place(k + 1, [*room, capacity - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_bins_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        lengths = [rng.randint(1, 12) for _ in range(rng.randint(1, 9))]
+        histogram = {x: lengths.count(x) for x in lengths}
+        bins = packing.minimum_bin_slack(histogram, 12)
+        used = defaultdict(int)
+        for one, times in bins:
+            assert sum(k * n for k, n in one.items()) <= 12
+            for k, n in one.items():
+                used[k] += n * times
+        assert used == histogram and sum(times for _, times in bins) <= best_bins(lengths, 12) + 1
+        rest = {k: n for k, n in histogram.items()}
+        sums = {0}
+        for x in lengths:
+            sums |= {s + x for s in sums if s + x <= 12}
+        assert sum(k * n for k, n in packing.fullest(rest, 12).items()) == max(sums)
+
+
 def test_fullest_bin():
     assert sum(k * n for k, n in packing.fullest({5: 2, 4: 1, 3: 10}, 11).items()) == 11
     assert packing.minimum_bin_slack({7: 3}, 10) == [({7: 1}, 3)]

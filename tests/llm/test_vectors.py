@@ -87,13 +87,31 @@ def brute_top(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [32, 8192])
-def test_top_k_with_ties(spark, block):
+@pytest.mark.parametrize("lists, heads, query_block", [(2, 16, 4096), (3, 1, 2), (1, 5, 1)])
+def test_top_k_with_ties(spark, lists, heads, query_block):
     rows = rows_with_groups()
-    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), block=block, query_block=2).collect()
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), lists=lists, heads=heads, query_block=query_block).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 50, 5)
 
 
+def test_top_k_of_large_groups_and_negative_scores(spark):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=6)
+    rows = [(k, hot.tolist(), 0, "", 0) for k in range(0, 300, 2)] + [(1000 + k, (hot + rng.normal(size=6) * 0.01).tolist(), 0, "", 0) for k in range(300)]
+    rows += [(5000, (-hot).tolist(), 0, "", 0), (5050, (-hot * 2).tolist(), 0, "", 0)] + [(100, hot.tolist(), 0, "", 0)] * 3
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(list({r[0]: r for r in rows}.values()), 50, 5)
+    alone = [(50 * k, [-1.0 * (k % 2 * 2 - 1), 0.5 * k], 0, "", 0) for k in range(6)] + [(1, [-9.0, -9.0], 0, "", 0)]
+    got = topk.top_k(spark.createDataFrame(alone, SCHEMA)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(alone, 50, 5)
+
+
+def test_repeated_vectors_count_once(spark):
+    rows = [(1, [1.0, 0.0], 1, "", 0)] * 3 + [(2, [2.0, 0.0], 1, "", 0)] * 2 + [(None, [1.0, 0.0], 1, "", 0), (3, [0.0, 1.0], 1, "", 0)]
+    got = embedding_dedup.link_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 0, 0)] + [(1, 1, 1)] * 3 + [(2, 1, 1)] * 2 + [(3, 0, 3)]
+
+
 def test_top_k_fewer_than_k_and_huge_values(spark):
     rows = [(0, [1e6, 1e30], 1, "", 0), (1, [-1e6, 1e30], 1, "", 0), (2, [3.0, 4.0], 1, "", 0)]
     got = topk.top_k(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()
