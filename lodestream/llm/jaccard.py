@@ -6,21 +6,24 @@ class of n shingles needs partners that hold T = ceil(n * num / den) of them.
 1. Heads. Under a fixed hash order the first n - T + t shingles of both of a linked pair share t or more.
    Only classes whose head has enough shingles that another class's head holds stay; one pass over the
    texts finds them, a second one gathers their sets.
-2. DivideSkip. Shingles are ordered by the length of their inverted lists. A class's T - 1 longest lists are
-   set aside; a partner must be in one of the n - T + 1 short ones, which are merged (a sort-merge join on
-   the shingle brings the postings of a list together). A candidate that passes the length filter and the
-   bound from shingles that no other class holds is looked up in the long lists by binary probes in its
-   sorted set, and stays if the required overlap is reached.
+2. DivideSkip. Shingles are ordered by the length of their inverted lists. Of a class the L longest lists are
+   set aside, L = T / (mu * log2(longest) + 1); the short ones are merged (a sort-merge join on the shingle
+   brings the postings of a list together) and occurrences are counted. Both of a linked pair hold their
+   shared shingles in one order, so that T - L of them, by the smaller T - L of the two, lie in the short
+   lists of both. A candidate that occurs so often is looked up by binary probes: of the class whose short
+   lists end first, the long lists are probed in the other's sorted set, and the candidate is retained if
+   the count and the probes together reach the required overlap.
 3. Large groups. Only components are asked for, so each class first meets the most central class of its
    lists; then only candidates from different components are left, found from each list's postings outside
-   its largest component, and one of the pair has the list among its very shortest, as the smaller one of a
-   linked pair must. Two classes that met the same leader compare by their differences from it. Groups of near
-   copies thus never make all their pairs, and no link that could join two components is left out.
+   its largest component, where the smaller one of a linked pair needs still fewer lists. Two classes that met
+   the same leader compare by their differences from it. Groups of near copies thus never make all their
+   pairs, and no link that could join two components is left out.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing.
-Fewer words than a shingle has make one shingle of them all. Rows of one doc_id get one component; a row
-without doc_id links with nothing and has no component. Shingles are compared by 64-bit hashes, sets by
-128-bit ones.
+Fewer words than a shingle has make one shingle of them all. Every row is judged by its own text: repeated
+rows get one component, rows that share a doc_id but not a text may get different ones. A row without doc_id
+links with nothing and has no component. Texts of any length are read whole; other columns are not read.
+Shingles are compared by 64-bit hashes, sets by 128-bit ones.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release_memory
 from .components import connected_components
 from .text_features import _MUL, SPACE, mix, segments, token_hashes
 
@@ -155,11 +158,47 @@ def _compared(pairs: DataFrame, sets: DataFrame, differences: bool) -> DataFrame
     return wide.mapInArrow(probe, "a long, b long, n1 long, n2 long, shared long, lacks array<long>, beyond array<long>")
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, extra: float = 1.0, broadcast_ids: int = 2_000_000) -> DataFrame:
+def _probed(candidates: DataFrame, orders: DataFrame, sets: DataFrame, rule: _Rule) -> DataFrame:
+    """candidates (a, b, c: short lists that both are in) -> (a, b) that link. The long lists of one of the two are probed
+    in the other's sorted set."""
+    cuts = lambda k: [F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "early", "cut", "at_early", "at_cut")]]
+    pairs = candidates.join(orders.select(*cuts("a")), "a").join(orders.select(*cuts("b")), "b")
+    small = F.struct("n_a", "a") < F.struct("n_b", "b")
+    of = lambda name, first, second: F.when(small, F.col(f"{name}_{first}")).otherwise(F.col(f"{name}_{second}"))
+    # the smaller one's early lists met the larger one's short ones; past the first of the two ends nothing is counted
+    by_small = of("at_early", "a", "b") <= of("at_cut", "b", "a")
+    by_a = by_small == small
+    pairs = pairs.select(
+        "a", "b", "c", "n_a", "n_b", F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("other"),
+        F.when(by_small, of("early", "a", "b")).otherwise(of("cut", "b", "a")).alias("start"),
+    )
+    long = F.slice("order", F.col("start") + 1, F.greatest(F.size("order") - F.col("start"), F.lit(0))).alias("long")
+    wide = pairs.join(orders.select("id", "order"), "id").select("a", "b", "c", "n_a", "n_b", "other", long).join(sets.select(F.col("id").alias("other"), "shingles"), "other")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shared = b.column(2).to_numpy().copy()
+            left, right = b.column(5), b.column(6)
+            lv, rv = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (left, right))
+            lo, ro = (x.offsets.to_numpy() for x in (left, right))
+            for k in range(b.num_rows):
+                x, y = lv[lo[k] : lo[k + 1]], rv[ro[k] : ro[k + 1]]
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                shared[k] += np.count_nonzero(y[at] == x)
+            linked = shared * rule.den >= (b.column(3).to_numpy() + b.column(4).to_numpy() - shared) * rule.num
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(linked)), b.column(1).filter(pa.array(linked))], ["a", "b"])
+        release_memory()
+
+    return wide.select("a", "b", "c", "n_a", "n_b", "long", "shingles").mapInArrow(probe, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, extra: float = 1.0, broadcast_ids: int = 2_000_000, mu: float = 0.0085, groups: bool = False) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id; one row per input row. extra: how much longer
     than necessary heads are, as a share; longer heads tell better which classes can have links. Ids of at most broadcast_ids
-    classes are broadcast to gather their sets (16 bytes each); more are joined."""
+    classes are broadcast to gather their sets (16 bytes each); more are joined. mu: the weight that tells how many lists are
+    long. groups: adds text_id, a hash of the text, and group, a number for each component."""
     spark, scratch, rule = docs.sparkSession, Scratch(docs.sparkSession, "jaccard"), _Rule(num, den, extra)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +210,19 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
                     sizes.append(len(s))
                     sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     heads.append(s[: rule.head(len(s))])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), _lists(heads)], ["doc_id", "n", "sig", "head"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), b.column(2).slice(at, len(run)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), _lists(heads)], ["doc_id", "text_id", "n", "sig", "head"])
+        release_memory()
 
-    signed = scratch.cut(docs.mapInArrow(signatures, "doc_id long, n long, sig binary, head array<long>"), "signed")
+    with_ids = docs.withColumn("text_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    signed = scratch.cut(with_ids.mapInArrow(signatures, f"doc_id {id_type}, text_id long, n long, sig binary, head array<long>"), "signed")
     members = signed.filter("n > 0 and doc_id is not null")
-    classes = scratch.cut(members.groupBy("sig").agg(F.min("doc_id").alias("id")), "classes")
+    classes = scratch.cut(members.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "classes")
 
     heads = members.select("doc_id", F.expr("conv(hex(substring(sig, 1, 7)), 16, 10)").cast("long").alias("mark"), "n", F.explode("head").alias("h"))
     shared_heads = heads.groupBy("h").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo <> hi").select("h")
     shared_heads = scratch.cut(shared_heads, "shared_heads")
     alive = heads.join(shared_heads, "h").groupBy("doc_id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= rule.head_shared(F.col("n"))).select("doc_id")
-    alive = scratch.cut(alive.distinct().join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "alive")
+    alive = scratch.cut(alive.distinct().join(classes.select("doc_id"), "doc_id", "left_semi"), "alive")
 
     # the sets of the classes that are left
     few = alive.limit(broadcast_ids + 1).count() <= broadcast_ids
@@ -195,22 +236,30 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
                 b = b.filter(pa.array((k < len(wanted.value)) & (wanted.value[np.minimum(k, len(wanted.value) - 1)] == ids) if len(wanted.value) else np.zeros(len(ids), bool)))
             for at, run in _runs(b.column(1).cast(pa.binary())):
                 sets = list(shingle_sets(run, words))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(run)), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["id", "n", "shingles"])
+                sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["sig", "n", "shingles"])
+        release_memory()
 
     source = docs.filter("doc_id is not null")
     source = source if few else source.join(alive, "doc_id", "left_semi")
-    sets = scratch.cut(source.mapInArrow(gather, "id long, n long, shingles array<long>").groupBy("id").agg(F.max(F.struct("n", "shingles")).alias("s")).select("id", "s.n", "s.shingles"), "sets")
+    sets = source.mapInArrow(gather, "sig binary, n long, shingles array<long>").filter("n > 0").groupBy("sig").agg(F.max(F.struct("n", "shingles")).alias("s"))
+    sets = scratch.cut(sets.join(classes.select("sig", "id"), "sig").select("id", "s.n", "s.shingles"), "sets")
 
-    # lists by length, and each class's short ones
+    # lists by length, and each class's short ones; those of shingles that no other class holds come first, u of them
     postings = sets.select("id", F.explode("shingles").alias("h"))
     lengths = scratch.cut(postings.groupBy("h").agg(F.count("*").alias("length")).filter("length > 1"), "lengths")
-    ordered = postings.join(lengths, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("length", "h"))).alias("lists"))
-    ordered = ordered.join(sets.select("id", "n"), "id").withColumn("u", F.col("n") - F.size("lists")).filter(F.col("u") <= rule.spare_column(F.col("n")))
-    # shingles that no other class holds have lists of one and come first; what is left of the short lists follows
-    # early: in the part that the smaller one of a linked pair shares with the larger one's short lists
-    short = ordered.select("id", "n", "u", F.posexplode(F.slice("lists", 1, (rule.spare_column(F.col("n")) + 1 - F.col("u")).cast("int"))).alias("at", "l"))
-    short = short.select("id", "n", "u", F.col("l.h").alias("h"), (F.col("u") + F.col("at") <= rule.spare_smaller(F.col("n"))).alias("early"))
-    short = scratch.cut(short, "short")
+    orders = postings.join(lengths, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("length", "h"))).alias("lists"))
+    orders = orders.join(sets.select("id", "n"), "id").withColumn("u", F.col("n") - F.size("lists")).filter(F.col("u") <= rule.spare_column(F.col("n")))
+    needed = F.ceil(F.col("n") * num / den)
+    long = F.least(needed - 1, F.floor(needed / (F.lit(mu) * F.log2(F.get("lists", F.size("lists") - 1)["length"]) + 1)))
+    orders = orders.withColumn("few", (needed - long).cast("int")).withColumn("cut", (F.col("n") - long - F.col("u")).cast("int"))
+    # early: the lists among which the smaller one of a linked pair shares `few` with the larger one's short lists
+    orders = orders.withColumn("early", F.greatest(F.lit(0), rule.spare_smaller(F.col("n")) + F.col("few") - F.col("u")).cast("int"))
+    end = lambda c: F.get("lists", F.col(c) - 1)
+    orders = scratch.cut(orders.select("id", "n", "u", "few", "cut", "early", end("cut").alias("at_cut"), end("early").alias("at_early"), F.transform("lists", lambda x: x["h"]).alias("order")), "orders")
+    short = orders.select("id", "n", "u", "few", "early", F.slice("order", 1, F.col("cut")).alias("s"))
+    short = short.select("id", "n", "u", "few", F.col("early").alias("_early"), F.posexplode("s").alias("at", "h"))
+    short = scratch.cut(short.select("id", "n", "u", "few", "h", (F.col("at") < F.col("_early")).alias("early")), "short")
 
     # every class with the most central class of its lists
     leaders = short.groupBy("h").agg(F.min(F.struct("u", "id", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1").select("h", F.col("l.id").alias("b"), F.col("l.u").alias("u2"), F.col("l.n").alias("n2"))
@@ -230,7 +279,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     largest = placed.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("h", "main")
     largest = scratch.cut(largest, "largest")
     mixed = scratch.cut(placed.join(largest, "h").join(near, "id", "left"), "mixed")
-    side = lambda k, name: [F.col(c).alias(f"{c}{k}") for c in ("n", "u", "comp", "early", "leader", "lacks", "beyond")] + [F.col("id").alias(name)]
+    side = lambda k, name: [F.col(c).alias(f"{c}{k}") for c in ("n", "u", "few", "comp", "early", "leader", "lacks", "beyond")] + [F.col("id").alias(name)]
     odd = mixed.filter("comp <> main").select("h", *side(1, "a"))
     every = mixed.select("h", "main", *side(2, "b"))
     smaller_early = F.when(F.struct("n1", "a") < F.struct("n2", "b"), F.col("early1")).otherwise(F.col("early2"))
@@ -241,15 +290,20 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     one_leader = F.coalesce(F.col("leader1") == F.col("leader2"), F.lit(False))
     pair = odd.join(every, "h").filter((F.col("comp1") != F.col("comp2")) & once & smaller_early & rule.may_link(F.col("n1"), F.col("u1"), F.col("n2"), F.col("u2")))
     pair = pair.filter(~one_leader | rule.links(shared, F.col("n1"), F.col("n2")))
-    candidates = scratch.cut(pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), one_leader.alias("linked")).distinct(), "candidates")
-    second = _compared(candidates.filter("not linked").select("a", "b"), sets, differences=False).filter(linked).select("a", "b").unionByName(candidates.filter("linked").select("a", "b"))
+    counted = pair.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("few1", "few2")).alias("few"), F.first(one_leader).alias("linked"))
+    candidates = scratch.cut(counted.filter(F.col("linked") | (F.col("c") >= F.col("few"))).select("a", "b", "c", "linked"), "candidates")
+    second = _probed(candidates.filter("not linked").select("a", "b", "c"), orders, sets, rule).unionByName(candidates.filter("linked").select("a", "b"))
     comps = connected_components(first.unionByName(second), scratch)
 
-    by_class = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
-    by_class = scratch.cut(by_class, "by_class")
-    out = signed.select("doc_id", "n", "sig").join(by_class, "sig", "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id"))
+    # a component is named by its smallest doc_id
+    placed = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select("sig", "doc_id", F.coalesce("component", "id").alias("group"))
+    placed = scratch.cut(placed, "by_class")
+    named = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    by_class = scratch.cut(placed.join(named, "group").select("sig", "group", "component_id"), "by_class")
+    out = signed.select("doc_id", "text_id", "n", "sig").join(by_class, "sig", "left")
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(linkable, F.col("component_id")), F.col("doc_id")).alias("component_id")]
+    return out.select(*columns, *(["text_id", F.when(linkable, F.col("group")).alias("group")] if groups else []))
 
 
 ORACLE = r"""

@@ -46,9 +46,13 @@ def test_near_copies_keep_one_row_of_an_id(spark):
     import corpus_pipeline as p
 
     text = " ".join(f"w{k}" for k in range(40))
-    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, text)]
-    got = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
-    assert sorted((r.doc_id for r in got), key=str) == [1, 3, 4, None]
+    other = " ".join(f"x{k}" for k in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, text), (1, other), (5, other + " more")]
+    for broadcast_ids in (0, 10):
+        docs = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, text_id string, `group` int")
+        got = p.drop_near_copies(spark, docs, SF, broadcast_ids=broadcast_ids)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, text), (1, other), (3, None), (4, ""), (None, text)], key=str)
 
 
 def test_buckets_are_those_of_spark(spark):

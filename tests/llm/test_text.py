@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, chat, jaccard, line_dedup, packing, quality, toxicity, url_filter
+from lodestream.llm import bpe, chat, jaccard, line_dedup, packing, quality, text_features, toxicity, url_filter
 from lodestream.llm.common import Scratch
 from lodestream.llm.queries import word_bpe
 from lodestream.llm.text_features import SPACE, segments
@@ -217,6 +217,41 @@ def test_rows_without_a_conversation_stand_alone(spark):
     assert sorted((r.conv_id is None, r.n_turns, r.loss_chars) for r in got) == [(True, 1, 0), (True, 1, 0), (True, 1, 1)]
 
 
+@pytest.mark.parametrize("mu", [0.0085, 0.5, 100.0])
+def test_short_lists_of_every_length_find_the_links(spark, mu):
+    rng = random.Random(21)
+    shared = [[f"p{i}_{k}" for k in range(30)] for i in range(3)]  # passages that many texts hold: long lists
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(8, 60))] + rng.choice(shared) * rng.randint(0, 1)
+        for _ in range(4):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = f"e{rng.randint(0, 10**6)}"
+            texts.append(" ".join(t + [f"z{rng.randint(0, 9)}"] * rng.randint(0, 1)))
+    texts += [" ".join(f"q{k}" for k in range(n)) for n in (11, 12, 8, 9, 2, 3)] + [None, "", "one"]
+    for words, num in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts), words=words, num=num, mu=mu).collect()}
+        assert got == brute_components(list(enumerate(texts)), words, num, 100)
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(7, a, "", 0, 0), (7, b, "", 0, 0), (3, b, "", 0, 0), (9, a + " more", "", 0, 0), (9, a + " more", "", 0, 0)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), groups=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 28, 3), (7, 28, 3), (7, 28, 7), (9, 29, 7), (9, 29, 7)]
+    assert len({r.group for r in got}) == 2
+
+
+def test_shingles_of_a_very_long_text():
+    rng = random.Random(2)
+    words = [f"w{rng.randint(0, 999)}" for _ in range(300_000)]
+    long, short = " ".join(words).encode(), " ".join(words[:1000]).encode()
+    both = list(jaccard.shingle_sets([long, short, b"", long], 3))
+    assert len(both[0]) == len({tuple(words[k : k + 3]) for k in range(len(words) - 2)}) and (both[0] == both[3]).all()
+    assert np.isin(both[1], both[0]).all() and not len(both[2])
+
+
 # BPE and packing
 
 ALPHABET = ["Kind", "kind***", "(x)", "A-b", "#", "a", "é", "É", ".", ",", "!", "\x1c", "\x85", "\xa0", " ", "\u200b", "\u0301", "İ", "ΣΑΣ", "ß", "1", "22", "\n", "\t", "\x0b", "\r", "'s", "'LL", "<|endoftext|>", "×", "ﬁ", "漢", "🙂", "_", "가", '"', "\x00", "SEÑOR.", "müßte***"]
@@ -389,6 +424,93 @@ def test_classifiers_without_labels(spark, fit):
     assert toxicity.score(d.limit(0), fit(d.limit(0), one), 3, 1).count() == 0
 
 
+def plain_char_counts(text, orders=(4, 5)):
+    t = f" {text.lower()} "
+    t = "".join(" " if ord(x) <= 32 else x for x in t)
+    return {t[k : k + n] for n in orders for k in range(len(t) - n + 1)}
+
+
+def test_long_texts_score_as_whole_ones():
+    rng = random.Random(14)
+    long = " ".join("".join(rng.choice("abcdeÉ!? ") for _ in range(rng.randint(1, 12))) for _ in range(60_000))
+    nb = toxicity.NaiveBayesLinear()
+    owner, bucket = nb.present([long, "abc", ""])
+    one = lambda n, x: set(text_features.buckets(np.array([hash_of(x)], np.uint64) + np.uint64(n), 20).tolist())
+
+    def hash_of(x):
+        h = 0
+        for ch in x:
+            h = (h * int(text_features._BASE) + ord(ch) + 1) % (1 << 64)
+        return h
+
+    want = set().union(*(one(len(g), g) for g in plain_char_counts(long)))
+    assert set(bucket[owner == 0].tolist()) == want and len(bucket[owner == 0]) == len(want)
+    # a fit on whole texts and segments of any length give one score
+    ftrl, size = quality.FollowTheLeader(), 1 << 20
+    ftrl.weights, ftrl.bias = np.random.default_rng(1).normal(size=size).astype(np.float32), 0.1
+    runs = [list(text_features.word_ngrams([long, "a b", long[:100]], 20, run)) for run in (1 << 12, 1 << 30)]
+    counts = [sorted(zip(np.concatenate([o for o, _ in r]).tolist(), np.concatenate([b for _, b in r]).tolist(), strict=True)) for r in runs]
+    assert counts[0] == counts[1]
+    o, b, v = ftrl.features([long, ""])
+    assert np.isclose(ftrl.score([long, ""])[0], 1 / (1 + np.exp(-(v * ftrl.weights[b]).sum() - 0.1)), atol=1e-6)
+
+
+def test_fits_against_plain_versions():
+    """The two classifiers against loops over dictionaries."""
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("ab c") for _ in range(30)) + (" zzz" if k % 3 == 0 else "") for k in range(60)]
+    y = np.array([float(k % 3 == 0) for k in range(60)])
+    nb = toxicity.NaiveBayesLinear(min_z=2.0)
+    rows = []
+    for t in texts:
+        rows.append(nb.present([t])[1])
+    seen, pos = defaultdict(int), defaultdict(int)
+    for r, label in zip(rows, y, strict=True):
+        for b in r.tolist():
+            seen[b] += 1
+            pos[b] += label
+    n, p, share = 60, y.sum(), y.mean()
+    ratio = {b: np.log(((1 + pos[b]) / (2 + p)) / ((1 + c - pos[b]) / (2 + n - p))) for b, c in seen.items() if c >= 3 and abs(pos[b] - c * share) / np.sqrt(c * share * (1 - share)) >= 2}
+    w, bias = dict.fromkeys(ratio, 0.0), float(np.log(share / (1 - share)))
+    g2, gb2 = dict.fromkeys(ratio, 1e-6), 1e-6
+    for _ in range(400):
+        err = [1 / (1 + np.exp(-(sum(w[b] * ratio[b] for b in r.tolist() if b in ratio) + bias))) - label for r, label in zip(rows, y, strict=True)]
+        grad = {b: 1e-4 * w[b] for b in ratio}
+        for e, r in zip(err, rows, strict=True):
+            for b in r.tolist():
+                if b in ratio:
+                    grad[b] += e * ratio[b] / n
+        for b, g in grad.items():
+            g2[b] += g * g
+            w[b] -= 0.2 * g / np.sqrt(g2[b])
+        gb2 += np.mean(err) ** 2
+        bias -= 0.2 * np.mean(err) / np.sqrt(gb2)
+    nb.fit(rows, y)
+    want = [1 / (1 + np.exp(-(sum(w[b] * ratio[b] for b in r.tolist() if b in ratio) + bias))) for r in rows]
+    assert np.allclose(nb.score(texts), want, atol=1e-4)
+
+    ftrl = quality.FollowTheLeader(epochs=2)
+    rows = []
+    for t in texts:
+        _, b, v = ftrl.features([t])
+        rows.append((b, v))
+    z, g2 = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= ftrl.l1 else (np.sign(z[i]) * ftrl.l1 - z[i]) / ((ftrl.beta + np.sqrt(g2[i])) / ftrl.alpha + ftrl.l2)
+    start = np.log(share / (1 - share))
+    for _ in range(2):
+        for (b, v), label in zip(rows, y, strict=True):
+            x = [*zip(b.tolist(), v.tolist(), strict=True), (-1, 1.0)]
+            now = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + np.exp(-(sum(now[i] * a for i, a in x) + start)))
+            for i, a in x:
+                g = (p - label) * a
+                z[i] += g - (np.sqrt(g2[i] + g * g) - np.sqrt(g2[i])) / ftrl.alpha * now[i]
+                g2[i] += g * g
+    ftrl.fit(rows, y)
+    want = [1 / (1 + np.exp(-(sum(weight(i) * a for i, a in zip(b.tolist(), v.tolist(), strict=True)) + weight(-1) + start))) for b, v in rows]
+    assert np.allclose(ftrl.score(texts), want, atol=1e-4)
+
+
 # URLs
 
 
