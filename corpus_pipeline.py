@@ -23,33 +23,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that reach the threshold for quality."""
+    """Documents that reach the threshold for quality; null and empty texts score the model's bias, the share of good labels."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.select_rows(docs, model, lambda score: score >= THRESHOLD)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines, n_chars made to fit; a null text becomes empty."""
-    out = line_dedup.dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """One document of each group of near copies, five words and a similarity of 0.8: the one of smallest doc_id.
-    Of rows with one doc_id one stays; rows without doc_id and without words stay."""
-    groups = jaccard.jaccard_components(docs, words=5, num=80, den=100, extra=0.25).filter("doc_id is not null")
+    """One row of each group of near copies, five words and a similarity of 0.8: that of smallest doc_id, of its rows the
+    one of smallest text hash. Rows without doc_id or without words stay. The rows that go are told by doc_id and text; at
+    most broadcast_ids of them are broadcast, more are joined."""
+    groups = jaccard.jaccard_components(docs, words=5, num=80, den=100, extra=0.25, groups=True).filter("group is not null")
     scratch = Scratch(spark, "near-copies")
-    members = scratch.cut(groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")).filter("component_id <> doc_id or n > 1"), "members")
-    gone, again = members.filter("component_id <> doc_id").select("doc_id"), members.filter("component_id = doc_id").select("doc_id")
+    row = F.struct("doc_id", "text_id")
+    members = scratch.cut(groups.groupBy("group", "doc_id", "text_id").agg(F.count("*").alias("n")), "members")
+    keepers = members.groupBy("group").agg(F.min(row).alias("keeper"), F.sum("n").alias("rows")).filter("rows > 1")
+    told = scratch.cut(members.join(keepers, "group").select("doc_id", "text_id", "n", (row == F.col("keeper")).alias("keeps")), "told")
     small = lambda ids: F.broadcast(ids) if ids.limit(broadcast_ids + 1).count() <= broadcast_ids else ids
-    kept = docs.join(small(gone), "doc_id", "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"))
+    kept, key = rows.join(small(told.filter("not keeps").select("doc_id", "text_id")), ["doc_id", "text_id"], "left_anti"), ["doc_id", "text_id"]
+    again = told.filter("keeps and n > 1").select(*key)
     if not again.isEmpty():
         again = small(again)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, placed in sequences of at most 2048 tokens; a null or empty text is one id."""
     return packing.pack_documents(docs, word_bpe())
 
 
@@ -60,6 +66,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table. Rows that repeat, null ids and other columns pass each stage as it says; an
+    empty table gives no rows."""
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for _, stage in STAGES:
         docs = scratch.cut(stage(spark, docs, sf_dir), "stage")
