@@ -25,8 +25,16 @@ def mid() -> Column:
     return F.when(_both(), (level(BIDS, 1, "price") + level(ASKS, 1, "price")) / 2).otherwise(0.0)
 
 
+def _sum(terms: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for t in terms:
+        out = out + t
+    return out
+
+
 def total(side: Column | str, k: int, f=lambda x: x["size"]) -> Column:
-    return F.aggregate(F.slice(side, 1, k), F.lit(0.0), lambda a, x: a + f(x))
+    """Levels are added up one by one, not by a fold over the array: such sums stay in generated code."""
+    return _sum([F.when(F.size(side) >= i, f(F.get(side, F.lit(i - 1)))).otherwise(0.0) for i in range(1, k + 1)])
 
 
 def imbalance(k: int, need_depth: bool = True) -> Column:
@@ -36,28 +44,26 @@ def imbalance(k: int, need_depth: bool = True) -> Column:
     return F.when((F.size(BIDS) >= k) & (F.size(ASKS) >= k), q).otherwise(0.0) if need_depth else q
 
 
-def _valid(k: int) -> Column:
-    """Levels of which both prices stand and both sizes are positive, as (bid, ask) pairs."""
-    pairs = F.zip_with(F.slice(BIDS, 1, k), F.slice(ASKS, 1, k), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
-    return F.filter(pairs, lambda x: x["b"]["price"].isNotNull() & x["a"]["price"].isNotNull() & (x["b"]["size"] > 0) & (x["a"]["size"] > 0))
-
-
-def _fold(pairs: Column, f) -> Column:
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + f(x))
+def _fold(k: int, f) -> Column:
+    """Sum over the levels of which both prices stand and both sizes are positive; f of (bid, ask)."""
+    terms = []
+    for i in range(k):
+        b, a = F.get(BIDS, F.lit(i)), F.get(ASKS, F.lit(i))
+        valid = b["price"].isNotNull() & a["price"].isNotNull() & (b["size"] > 0) & (a["size"] > 0)
+        terms.append(F.when(valid, f(b, a)).otherwise(0.0))
+    return _sum(terms)
 
 
 def microprice(k: int) -> Column:
     """Volume-weighted prices of both sides, each weighted by the other side's volume; null without a valid level."""
-    v = _valid(k)
-    b, a = _fold(v, lambda x: x["b"]["size"]), _fold(v, lambda x: x["a"]["size"])
-    avg_b, avg_a = F.try_divide(_fold(v, lambda x: x["b"]["size"] * x["b"]["price"]), b), F.try_divide(_fold(v, lambda x: x["a"]["size"] * x["a"]["price"]), a)
+    b, a = _fold(k, lambda b, a: b["size"]), _fold(k, lambda b, a: a["size"])
+    avg_b, avg_a = F.try_divide(_fold(k, lambda b, a: b["size"] * b["price"]), b), F.try_divide(_fold(k, lambda b, a: a["size"] * a["price"]), a)
     return F.try_divide(b * avg_a + a * avg_b, a + b)
 
 
 def weighted_mid(k: int) -> Column:
-    v = _valid(k)
-    size = lambda x: x["a"]["size"] + x["b"]["size"]
-    return F.try_divide(_fold(v, lambda x: (x["a"]["price"] + x["b"]["price"]) / 2 * size(x)), _fold(v, size))
+    size = lambda b, a: a["size"] + b["size"]
+    return F.try_divide(_fold(k, lambda b, a: (a["price"] + b["price"]) / 2 * size(b, a)), _fold(k, size))
 
 
 def vwap(side: Column | str, k: int) -> Column:
@@ -66,12 +72,13 @@ def vwap(side: Column | str, k: int) -> Column:
 
 def slope(side: Column | str, k: int, least: int = 2) -> Column:
     """Least-squares slope of size on price over the first k levels; 0 with fewer than `least` or with one price."""
-    v = F.filter(F.slice(side, 1, k), lambda x: x["price"].isNotNull() & (x["size"] > 0))
-    n = F.size(v).cast("double")
-    # prices are taken relative to the first one, which keeps the sums of squares exact enough
-    p0 = F.get(v, F.lit(0))["price"]
-    x, y = (lambda r: r["price"] - p0), (lambda r: r["size"])
-    sx, sy, sxy, sxx = _fold(v, x), _fold(v, y), _fold(v, lambda r: x(r) * y(r)), _fold(v, lambda r: x(r) * x(r))
+    levels = [F.get(side, F.lit(i)) for i in range(k)]
+    valid = [F.coalesce(x["price"].isNotNull() & (x["size"] > 0), F.lit(False)) for x in levels]
+    n = _sum([F.when(v, 1.0).otherwise(0.0) for v in valid])
+    # prices are taken relative to the first valid one, which keeps the sums of squares exact enough
+    p0 = F.coalesce(*[F.when(v, x["price"]) for v, x in zip(valid, levels, strict=True)])
+    fold = lambda f: _sum([F.when(v, f(x["price"] - p0, x["size"])).otherwise(0.0) for v, x in zip(valid, levels, strict=True)])
+    sx, sy, sxy, sxx = fold(lambda x, y: x), fold(lambda x, y: y), fold(lambda x, y: x * y), fold(lambda x, y: x * x)
     return F.when(n >= least, F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))).otherwise(0.0)
 
 

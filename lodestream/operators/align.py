@@ -2,62 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import carry, number
 
-def asof(left: DataFrame, right: DataFrame, values: list[str], by: list[str] | None = None, ts: str = "ts", tolerance: str | None = None, bucket: str | None = None) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, values: list[str], by: list[str] | None = None, ts: str = "ts", tolerance: str | None = None, bucket: str = "1 day") -> DataFrame:
     """left with, for each row, the values of right's latest row at or before it; right must be unique in (by, ts).
 
-    Both sides go into one stream, sorted once within `by`; the last right row is carried forward. With `bucket`,
-    a length of time such as '1 day', the stream is cut into buckets that are scanned apart from each other, and
-    each starts from the last right row of the buckets before it: a symbol then needs no single task."""
+    Both sides go into one stream, and the last right row is carried forward. The stream is cut into time buckets that
+    are scanned apart from each other, each starting from the last right row of those before: neither a symbol nor a
+    whole table needs a single task. A numeric ts counts microseconds."""
     by = by or []
     row = F.struct(F.col(ts).alias("_rts"), *[F.col(v) for v in values])
     l = left.select(F.struct(*left.columns).alias("_l"), *by, F.col(ts).alias("_ts"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("_r"))  # noqa: E741
     r = right.select(F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("_l"), *by, F.col(ts).alias("_ts"), row.alias("_r"))
-    both = l.unionByName(r)
-    order = [F.col("_ts"), F.col("_l").isNotNull()]  # a right row of the same instant comes first
-    if bucket is None:
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        out = both.withColumn("_r", F.last("_r", True).over(w))
-    else:
-        both = both.withColumn("_b", F.window("_ts", bucket)["start"])
-        ends = both.groupBy(*by, "_b").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_ts"))).alias("_end"))
-        w0 = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        before = ends.select(*by, "_b", F.last("_end", True).over(w0).alias("_before"))
-        w = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        out = both.withColumn("_in", F.last("_r", True).over(w)).join(before, [*by, "_b"]).withColumn("_r", F.coalesce("_in", "_before"))
-    out = out.filter("_l is not null")
+    # a right row of the same instant comes first
+    out = carry(l.unionByName(r), ["_r"], "_ts", by, [F.col("_l").isNotNull()], bucket=bucket).filter("_l is not null")
     found = F.col("_r")
     if tolerance:
         found = F.when(F.col("_ts") <= F.col("_r._rts") + F.expr(f"interval {tolerance}"), F.col("_r"))
     return out.select("_l.*", *[found[v].alias(v) for v in values])
 
 
-def forward_asof(left: DataFrame, right: DataFrame, values: list[str], ts: str = "ts") -> DataFrame:
+def forward_asof(left: DataFrame, right: DataFrame, values: list[str], ts: str = "ts", bucket: str = "1 day") -> DataFrame:
     """For each left row the values of the first right row at or after it."""
-    flip = lambda c: -F.unix_micros(F.col(c).cast("timestamp"))
-    l, r = left.withColumn("_neg", flip(ts)), right.withColumn("_neg", flip(ts)).select("_neg", *values)  # noqa: E741
-    return asof(l, r, values, ts="_neg").drop("_neg")
+    l, r = left.withColumn("_neg", -number(left, ts)), right.withColumn("_neg", -number(right, ts)).select("_neg", *values)  # noqa: E741
+    return asof(l, r, values, ts="_neg", bucket=bucket).drop("_neg")
 
 
-def synchronize(base: DataFrame, assets: DataFrame, names: list[str], freq: str = "1 minute", backfill: bool = False) -> DataFrame:
+def synchronize(base: DataFrame, assets: DataFrame, names: list[str], freq: str = "1 minute", backfill: bool = False, bucket: str = "1 day") -> DataFrame:
     """base (ts, ...) with the last close of each asset in the bucket of its ts, filled forward, and backward if asked."""
     last = assets.groupBy(F.window("ts", freq)["start"].alias("_b")).pivot("asset", names).agg(F.max_by("close", "ts"))
-    x = base.withColumn("_b", F.window("ts", freq)["start"]).join(last, "_b", "left")
-    w = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(0, Window.unboundedFollowing)
-    filled = {n: F.coalesce(F.last(n, True).over(w), F.first(n, True).over(back)) if backfill else F.last(n, True).over(w) for n in names}
-    return x.withColumns(filled).drop("_b")
+    x = carry(base.withColumn("_b", F.window("ts", freq)["start"]).join(last, "_b", "left").drop("_b"), names, bucket=bucket)
+    return carry(x, names, back=True, bucket=bucket) if backfill else x
 
 
-def union_axis(base: DataFrame, assets: DataFrame, names: list[str]) -> DataFrame:
+def union_axis(base: DataFrame, assets: DataFrame, names: list[str], bucket: str = "1 day") -> DataFrame:
     """All times of either side, each series carried forward: (ts, close, one column per asset)."""
     wide = assets.groupBy("ts").pivot("asset", names).agg(F.max("close"))
-    x = base.select("ts", "close").join(wide, "ts", "full_outer")
-    w = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return x.select("ts", *[F.last(c, True).over(w).alias(c) for c in ("close", *names)])
+    return carry(base.select("ts", "close").join(wide, "ts", "full_outer").select("ts", "close", *names), ["close", *names], bucket=bucket)
 
 
 def within_events(rows: DataFrame, events: DataFrame, before: str = "5 minutes", after: str = "5 minutes", inside: bool = True, bucket: str = "1 hour") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import Rolling
+from .ordered import quantiles
 
 
 def dedup(ticks: DataFrame, keep: str = "first", keys: tuple[str, ...] = ("symbol", "ts"), order: str = "sequence") -> DataFrame:
@@ -32,7 +33,7 @@ def returns_within(ticks: DataFrame, z: float = 5.0, least: int = 10) -> DataFra
 
 def volume_within(ticks: DataFrame, k: float = 3.0) -> DataFrame:
     """Drops volumes outside k interquartile ranges of their symbol's quartiles."""
-    q = ticks.groupBy("symbol").agg(F.expr("percentile(volume, array(0.25, 0.75))").alias("_q"))
+    q = quantiles(ticks, "volume", [0.25, 0.75], ["symbol"], "_q")
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     return ticks.join(q, "symbol").filter(F.col("volume").between(lo - k * (hi - lo), hi + k * (hi - lo))).select(*ticks.columns)
 
@@ -78,9 +79,9 @@ def fill_calendar(bars: DataFrame, freq: str, limit: int = 3, weekends: bool = F
 
 def robust_scale(df: DataFrame, columns: list[str], by: str = "symbol", clip: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """(x - median) / interquartile range, after clipping at two percentiles of the symbol."""
-    qs = ", ".join(str(q) for q in (0.25, 0.5, 0.75, *clip))
-    stats = df.groupBy(by).agg(*[F.expr(f"percentile({c}, array({qs}))").alias(f"_q_{c}") for c in columns])
-    x = df.join(stats, by)
+    x = df
+    for c in columns:
+        x = x.join(quantiles(df, c, [0.25, 0.5, 0.75, *clip], [by], f"_q_{c}"), by, "left")
     scaled = {c: F.try_divide(F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[3]), F.col(f"_q_{c}")[4]) - F.col(f"_q_{c}")[1], F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]) for c in columns}
     return x.withColumns(scaled).select(*df.columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import Rolling
 from .align import asof
+from .ordered import carry
 
 ASSETS = ["DXY", "TIPS", "SPY"]
 R = Rolling(by=("symbol",))
@@ -14,11 +15,8 @@ R = Rolling(by=("symbol",))
 
 def aligned(base: DataFrame, assets: DataFrame, names: list[str] = ASSETS) -> DataFrame:
     """base bars (symbol, ts, close) with the latest close of each asset at or before each bar."""
-    wide = assets.groupBy("ts").pivot("asset", names).agg(F.max("close"))
-    out = base.select("symbol", "ts", "close")
-    for n in names:
-        out = asof(out, wide.filter(F.col(n).isNotNull()).select("ts", n), [n])
-    return out
+    wide = assets.groupBy("ts").pivot("asset", names).agg(F.max("close")).select("ts", *names)
+    return asof(base.select("symbol", "ts", "close"), carry(wide, names), names)
 
 
 def features(x: DataFrame, names: list[str] = ASSETS, windows: tuple[int, ...] = (20, 60, 240)) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles, running
+
 
 @dataclass(frozen=True)
 class BoostedTrees:
@@ -54,37 +56,42 @@ def classification_metrics(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), r(tp + tn, F.count("*")).alias("accuracy"), r(tp, tp + fp).alias("precision"), r(tp, tp + fn).alias("recall"), r(2 * tp, 2 * tp + fp + fn).alias("f1"), loss.alias("log_loss"))
 
 
+def _by_score(df: DataFrame) -> DataFrame:
+    return df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("_t"), F.count_if(F.col("y") == 0).alias("_f"))
+
+
+def _with_totals(c: DataFrame) -> DataFrame:
+    """The curve with the numbers of positives and negatives, one row that is broadcast."""
+    return c.join(F.broadcast(c.agg(F.sum("_t").alias("_pos"), F.sum("_f").alias("_neg"))))
+
+
+def _curve(df: DataFrame) -> DataFrame:
+    return running(_by_score(df), ["p"], {"tp": "_t", "fp": "_f"}, descending=True)
+
+
 def curve(df: DataFrame) -> DataFrame:
     """(p, tp, fp) cumulative over falling distinct p: one row per distinct score, from counts per score."""
-    by = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("_t"), F.count_if(F.col("y") == 0).alias("_f"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("p", F.sum("_t").over(w).alias("tp"), F.sum("_f").over(w).alias("fp"))
+    return _curve(df).select("p", "tp", "fp")
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
     """Exact area by ranks: pairs ordered right plus half of the ties, from counts per score."""
-    by = df.groupBy("p").agg(F.count_if(F.col("y") == 1).alias("_t"), F.count_if(F.col("y") == 0).alias("_f"))
-    below = F.coalesce(F.sum("_f").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = by.withColumn("_b", below)
-    return x.agg(F.try_divide(F.sum(F.col("_t") * (F.col("_b") + F.col("_f") / 2)), F.sum("_t").cast("double") * F.sum("_f")).alias("roc_auc"))
+    x = running(_by_score(df), ["p"], {"_b": "_f"})
+    return x.agg(F.try_divide(F.sum(F.col("_t") * (F.col("_b") - F.col("_f") / 2)), F.sum("_t").cast("double") * F.sum("_f")).alias("roc_auc"))
 
 
 def pr_auc(df: DataFrame) -> DataFrame:
-    """Trapezoid over recall, from (0, 1)."""
-    c = curve(df).withColumn("_p", F.col("tp") / (F.col("tp") + F.col("fp")))
-    w = Window.orderBy(F.desc("p"))
-    whole = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = c.withColumn("_r", F.try_divide("tp", F.max("tp").over(whole)))
-    c = c.withColumns({"_r0": F.coalesce(F.lag("_r").over(w), F.lit(0.0)), "_p0": F.coalesce(F.lag("_p").over(w), F.lit(1.0))})
-    return c.agg(F.sum((F.col("_r") - F.col("_r0")) * (F.col("_p") + F.col("_p0")) / 2).alias("pr_auc"))
+    """Trapezoid over recall, from (0, 1). The point before a score follows from its own counts."""
+    c, t, f = _with_totals(_curve(df)), F.col("tp") - F.col("_t"), F.col("fp") - F.col("_f")
+    width = F.try_divide("_t", "_pos")
+    before = F.coalesce(F.try_divide(t, t + f), F.lit(1.0))
+    return c.agg(F.sum(width * (F.col("tp") / (F.col("tp") + F.col("fp")) + before) / 2).alias("pr_auc"))
 
 
 def youden(df: DataFrame) -> DataFrame:
     """Threshold of greatest true minus false positive rate."""
-    c = curve(df)
-    whole = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    j = F.try_divide("tp", F.max("tp").over(whole)) - F.try_divide("fp", F.max("fp").over(whole))
-    return c.withColumn("j", j).agg(F.max_by("p", F.struct(F.round("j", 12), "p")).alias("threshold"), F.max("j").alias("j"))
+    j = F.try_divide("tp", "_pos") - F.try_divide("fp", "_neg")
+    return _with_totals(_curve(df)).withColumn("j", j).agg(F.max_by("p", F.struct(F.round("j", 12), "p")).alias("threshold"), F.max("j").alias("j"))
 
 
 def strategy_returns(df: DataFrame, unit: float = 0.01) -> DataFrame:
@@ -95,15 +102,16 @@ def performance(df: DataFrame, order: str, ret: str = "ret", by: list[str] | Non
     """Sharpe, Sortino, drawdown of additive returns, profit factor, expectancy, win rate, value at risk and shortfall, omega."""
     by = by or []
     r = F.col(ret)
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = df.withColumn("_cum", F.sum(r).over(w)).withColumn("_dd", F.col("_cum") - F.max("_cum").over(w))
+    x = running(df, [order], {"_cum": ret}, by=by)
+    x = running(x, [order], greatest={"_peak": "_cum"}, by=by).withColumn("_dd", F.col("_cum") - F.col("_peak"))
     mean, std, down = F.avg(r), F.stddev_pop(r), F.stddev_pop(F.when(r < 0, r))
     gain, loss = F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)), F.abs(F.coalesce(F.sum(F.when(r < 0, r)), F.lit(0.0)))
-    var = F.expr(f"percentile({ret}, 0.05)")
+    var = quantiles(df, ret, [0.05], by, "_q")
     out = x.groupBy(*by).agg(
         F.count("*").alias("n"), F.coalesce(F.try_divide(mean, std), F.lit(0.0)).alias("_sh"), F.count_if(r < 0).alias("_neg"), mean.alias("expectancy"), down.alias("_down"), F.min("_dd").alias("max_drawdown"), F.sum(r).alias("total"),
-        F.coalesce(F.try_divide(gain, loss), F.lit(0.0)).alias("profit_factor"), F.avg((r > 0).cast("int")).alias("win_rate"), var.alias("var_95"),
+        F.coalesce(F.try_divide(gain, loss), F.lit(0.0)).alias("profit_factor"), F.avg((r > 0).cast("int")).alias("win_rate"),
     )
+    out = (out.join(var, by, "left") if by else out.join(F.broadcast(var))).withColumn("var_95", F.col("_q")[0])
     year = math.sqrt(252)
     sortino = F.when(F.col("_neg") == 0, F.when(F.col("expectancy") > 0, float("inf")).otherwise(0.0)).otherwise(F.coalesce(F.try_divide("expectancy", "_down"), F.lit(0.0)) * year)
     return out.select(*by, "n", "expectancy", (F.col("_sh") * year).alias("sharpe"), sortino.alias("sortino"), "max_drawdown", "profit_factor", "win_rate", "var_95", F.coalesce(F.try_divide("total", F.abs("max_drawdown")), F.lit(0.0)).alias("calmar"))
@@ -111,17 +119,16 @@ def performance(df: DataFrame, order: str, ret: str = "ret", by: list[str] | Non
 
 def shortfall(df: DataFrame, ret: str = "ret") -> DataFrame:
     """Mean return at or below the 5 % quantile."""
-    cut = df.agg(F.expr(f"percentile({ret}, 0.05)").alias("_v"))
-    return df.join(F.broadcast(cut), F.col(ret) <= F.col("_v")).agg(F.avg(ret).alias("cvar_95"))
+    cut = quantiles(df, ret, [0.05], name="_v")
+    return df.join(F.broadcast(cut), F.col(ret) <= F.col("_v")[0]).agg(F.avg(ret).alias("cvar_95"))
 
 
 def expanding_folds(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """fold 0 is the head that is never tested; folds 1..k of n // (k + 1) rows each follow in order."""
-    w = Window.orderBy(*order)
-    n = F.count("*").over(Window.partitionBy())
-    size = F.floor(n / (k + 1))
-    at = F.row_number().over(w) - 1
-    return df.withColumns({"_at": at, "_size": size, "_n": n}).withColumn("fold", F.greatest(F.lit(0), F.floor((F.col("_at") - (F.col("_n") - k * F.col("_size"))) / F.col("_size")) + 1).cast("int")).drop("_at", "_size", "_n")
+    n = df.agg(F.count("*").alias("_n")).withColumn("_size", F.floor(F.col("_n") / (k + 1)))
+    x = running(df.withColumn("_one", F.lit(1)), order, {"_at": "_one"}).join(F.broadcast(n))
+    fold = F.floor((F.col("_at") - 1 - (F.col("_n") - k * F.col("_size"))) / F.col("_size")) + 1
+    return x.withColumn("fold", F.greatest(F.lit(0), fold).cast("int")).drop("_one", "_at", "_size", "_n")
 
 
 def walk_forward(df: DataFrame, start: str, train_days: int, test_days: int, folds: int, purge: str = "30 minutes") -> DataFrame:
@@ -165,9 +172,12 @@ def permutation_importance(df: DataFrame, features: list[str], target: str, seed
     model = LinearRegression(featuresCol="_v", labelCol="_y").fit(make(x))
     mse = lambda d: model.transform(make(d)).agg(F.avg(F.pow(F.col("_y") - F.col("prediction"), 2))).first()[0]
     base, rows = mse(x), []
-    ranked = lambda d, o: d.withColumn("_k", F.row_number().over(Window.orderBy(o)))
+    # a column is shuffled within parts that a hash of the row deals out, none of them larger than a task holds
+    parts = max(1, x.count() // 100_000)
+    x = x.withColumn("_b", F.pmod(F.xxhash64(*x.columns), F.lit(parts)))
+    ranked = lambda d, *o: d.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*o)))
     for f in features:
-        mixed = ranked(x.drop(f), F.lit(0)).join(ranked(x.select(f), F.rand(seed)), "_k").drop("_k")
+        mixed = ranked(x.drop(f), *x.drop(f).columns).join(ranked(x.select(f, "_b"), F.xxhash64(f, F.lit(seed)), F.rand(seed)), ["_b", "_k"]).drop("_k", "_b")
         rows.append((f, max(0.0, mse(mixed) - base) / base if base else 0.0))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 

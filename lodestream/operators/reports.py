@@ -32,6 +32,12 @@ def recent(df: DataFrame, minutes: int, anchor=None, ts: str = "ts") -> DataFram
     return df.join(F.broadcast(newest), F.col(ts) >= F.col("_newest") - F.expr(f"interval {minutes} minutes")).drop("_newest")
 
 
+def latest(df: DataFrame, order: str = "sequence", by: str = "symbol") -> DataFrame:
+    """The newest row of each symbol: an aggregation with map-side combine."""
+    rest = [c for c in df.columns if c != by]
+    return df.groupBy(by).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(by, "_row.*").select(*df.columns)
+
+
 def quality_summary(metrics: DataFrame, hours: int | None = None) -> DataFrame:
     """metrics (ts, data_type, overall, anomalies, results array<struct<rule, passed>>) of the last hours by type."""
     x = recent(metrics, 60 * hours) if hours else metrics

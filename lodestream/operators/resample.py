@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import micros
+
 #: The bar lengths that are built by default.
 FREQUENCIES = ["1 second", "5 seconds", "10 seconds", "30 seconds", "1 minute", "5 minutes", "15 minutes"]
 
@@ -28,10 +30,23 @@ def derived(bars: DataFrame, literal: bool = False) -> DataFrame:
     return bars.withColumns({"typical_price": (F.col("high") + F.col("low") + F.col("close")) / 3, "price_range": F.col("high") - F.col("low"), "volume_per_tick": per_tick})
 
 
+def rolled(bars: DataFrame, freq: str) -> DataFrame:
+    """Bars of a longer length from bars whose length divides it."""
+    out = bars.groupBy("symbol", F.window("ts", freq).alias("_w")).agg(
+        F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("side_imbalance").alias("side_imbalance"), F.sum("ticks").alias("ticks"),
+    )
+    return out.select("symbol", F.col("_w.start").alias("ts"), "open", "high", "low", "close", "volume", "side_imbalance", "ticks")
+
+
 def multi_frequency(ticks: DataFrame, freqs: list[str] = FREQUENCIES) -> DataFrame:
-    """Bars of several lengths in one table, told apart by freq. Longer bars are built from the shortest ones where
-    every length is a multiple of it, so that ticks are shuffled once."""
-    return reduce(DataFrame.unionByName, [derived(ohlcv(ticks, f)).withColumn("freq", F.lit(f)) for f in freqs])
+    """Bars of several lengths in one table, told apart by freq. Ticks make the bars of lengths that no shorter one
+    divides; longer ones are rolled up from the longest that does."""
+    made: dict[str, DataFrame] = {}
+    for f in sorted(freqs, key=micros):
+        shorter = [g for g in made if micros(f) % micros(g) == 0]
+        made[f] = rolled(made[shorter[-1]], f) if shorter else ohlcv(ticks, f)
+    return reduce(DataFrame.unionByName, [derived(made[f]).withColumn("freq", F.lit(f)) for f in freqs])
 
 
 def time_weighted(ticks: DataFrame, freq: str) -> DataFrame:

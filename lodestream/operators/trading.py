@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,9 +70,10 @@ def triple_barrier(bars: DataFrame, up: float, down: float, horizon: int) -> Dat
 
 
 def simulate_fills(orders: DataFrame, quotes: DataFrame, latency_ms: int = 25, slippage: float = 0.005, probability: float = 0.85) -> DataFrame:
-    """orders (ts, order_id, side) against quotes (ts, bid, ask), latency later; whether one is filled follows from a hash of its id."""
+    """orders (ts, order_id, side) against quotes (ts, bid, ask), latency later, symbol by symbol where both sides have one;
+    whether one is filled follows from a hash of its id."""
     late = orders.withColumns({"_sent": F.col("ts"), "ts": F.col("ts") + F.expr(f"interval {latency_ms} milliseconds")})
-    x = asof(late, quotes, ["bid", "ask"])
+    x = asof(late, quotes, ["bid", "ask"], by=["symbol"] if "symbol" in orders.columns and "symbol" in quotes.columns else None)
     u = F.pmod(F.xxhash64("order_id"), F.lit(1_000_000)) / 1_000_000
     price = F.when(F.col("side") == "buy", F.col("ask") + slippage).otherwise(F.col("bid") - slippage)
     return x.withColumns({"filled": (u < probability) & F.col("bid").isNotNull(), "fill_price": price}).withColumn("fill_price", F.when(F.col("filled"), F.col("fill_price")))
@@ -128,10 +133,23 @@ def psi(expected: DataFrame, actual: DataFrame, column: str, edges: list[float])
 
 
 def bootstrap(returns: DataFrame, draws: int = 1000, seed: int = 7) -> DataFrame:
-    """Poisson bootstrap of the mean return: every row gets a weight in each draw, from its id and the draw's number."""
-    s = returns.sparkSession
-    x = returns.select("id", "ret").join(F.broadcast(s.range(draws).withColumnRenamed("id", "draw")))
-    u = F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
-    return x.groupBy("draw").agg(F.try_divide(F.sum(F.col("ret") * weight), F.sum(weight)).alias("mean"))
+    """Poisson bootstrap of the mean return: every row gets a weight in each draw, from its id and the draw's number. A task
+    adds up its rows' weights and returns a row for each draw; rows are never multiplied by draws."""
+    cdf = np.array([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183])
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, count = np.zeros(draws), np.zeros(draws)
+        numbers = np.arange(draws, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        for f in frames:
+            for at in range(0, len(f), 1024):
+                h = f["h"].to_numpy()[at : at + 1024].view(np.uint64)[:, None] ^ numbers[None, :]
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                weight = np.searchsorted(cdf, (h >> np.uint64(11)).astype(float) / (1 << 53), "right")
+                total += f["ret"].to_numpy()[at : at + 1024] @ weight
+                count += weight.sum(0)
+        yield pd.DataFrame({"draw": np.arange(draws), "total": total, "count": count})
+
+    rows = returns.select(F.xxhash64("id").alias("h"), F.col("ret").cast("double").alias("ret")).filter("ret is not null")
+    parts = rows.mapInPandas(weigh, "draw long, total double, count double")
+    return parts.groupBy("draw").agg(F.try_divide(F.sum("total"), F.sum("count")).alias("mean"))

@@ -11,6 +11,7 @@ from ..functions import book, scalar
 from ..functions.windows import Rolling
 from ..operators import align, clean, cross_asset, models, reports, resample, scan, structure, technical, trading, validate
 from ..sources import fixtures as fx
+from ..sources import storage
 from . import engine
 
 R = Rolling()
@@ -79,10 +80,10 @@ def resample_1d(spark, sf):
 @query(
     "resample_multi",
     TICKS + " SELECT freq, symbol, time_bucket(f, ts) AS ts, arg_min(price, sequence) AS open, max(price) AS high, min(price) AS low, arg_max(price, sequence) AS close, sum(volume) AS volume, count(*) AS ticks"
-    " FROM ticks, (VALUES ('1 minute', INTERVAL 1 minute), ('5 minutes', INTERVAL 5 minute), ('15 minutes', INTERVAL 15 minute)) v(freq, f) GROUP BY 1, 2, 3",
+    " FROM ticks, (VALUES ('1 second', INTERVAL 1 second), ('5 seconds', INTERVAL 5 second), ('10 seconds', INTERVAL 10 second), ('30 seconds', INTERVAL 30 second), ('1 minute', INTERVAL 1 minute), ('5 minutes', INTERVAL 5 minute), ('15 minutes', INTERVAL 15 minute)) v(freq, f) GROUP BY 1, 2, 3",
 )
 def resample_multi(spark, sf):
-    return resample.multi_frequency(fx.ticks(spark, sf), ["1 minute", "5 minutes", "15 minutes"]).select("freq", "symbol", "ts", "open", "high", "low", "close", "volume", "ticks")
+    return resample.multi_frequency(fx.ticks(spark, sf)).select("freq", "symbol", "ts", "open", "high", "low", "close", "volume", "ticks")
 
 
 @query("dedup_first", "SELECT symbol, ts, arg_min(price, seq) AS price FROM (SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts, round(l_extendedprice / l_quantity, 6) AS price, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem) GROUP BY 1, 2")
@@ -121,14 +122,12 @@ def clean_stats(spark, sf):
 
 @query("latest_tick", f"{TICKS} SELECT symbol, max(ts) AS ts, arg_max(price, sequence) AS price, max(sequence) AS sequence FROM ticks GROUP BY 1")
 def latest_tick(spark, sf):
-    return fx.ticks(spark, sf).groupBy("symbol").agg(F.max_by(F.struct("ts", "price"), "sequence").alias("t"), F.max("sequence").alias("sequence")).select("symbol", "t.ts", "t.price", "sequence")
+    return reports.latest(fx.ticks(spark, sf)).select("symbol", "ts", "price", "sequence")
 
 
 @query("recent_ticks", f"{TICKS} SELECT symbol, sequence, price FROM ticks WHERE ts >= (SELECT max(ts) FROM ticks) - INTERVAL 6 hour")
 def recent_ticks(spark, sf):
-    t = fx.ticks(spark, sf)
-    anchor = t.agg(F.max("ts").alias("a"))
-    return t.join(F.broadcast(anchor), t["ts"] >= F.col("a") - F.expr("interval 6 hours")).select("symbol", "sequence", "price")
+    return reports.recent(fx.ticks(spark, sf), 360).select("symbol", "sequence", "price")
 
 
 @query("buffer_last_100", f"{TICKS} SELECT symbol, sequence FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sequence DESC) <= 100")
@@ -138,22 +137,19 @@ def buffer_last_100(spark, sf):
 
 @query("time_range", f"{TICKS} SELECT symbol, sequence, price FROM ticks WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
 def time_range(spark, sf):
-    from ..sources.storage import time_filter
-
     bounds = [F.expr(f"timestamp_ntz '2024-01-{d}'") for d in ("05", "10")]
-    t = fx.ticks(spark, sf)
-    return t.filter((F.col("ts") >= bounds[0]) & (F.col("ts") <= bounds[1])).select("symbol", "sequence", "price") if time_filter else t
+    return storage.time_filter(fx.ticks(spark, sf), *bounds).select("symbol", "sequence", "price")
 
 
 @query("partition_catalogue", f"{TICKS} SELECT CAST(ts AS DATE) AS ts_date, min(ts) AS start, max(ts) AS \"end\", count(*) AS records FROM ticks GROUP BY 1")
 def partition_catalogue(spark, sf):
-    return fx.ticks(spark, sf).groupBy(F.to_date("ts").alias("ts_date")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("records"))
+    return storage.by_day(fx.ticks(spark, sf))
 
 
 @query("storage_stats", f"{TICKS} SELECT split_part(symbol || '_' || CAST(CAST(ts AS DATE) AS VARCHAR), '_', 1) AS data_type, count(DISTINCT CAST(ts AS DATE)) AS n, count(*) AS records FROM ticks GROUP BY 1")
 def storage_stats(spark, sf):
-    keys = fx.ticks(spark, sf).groupBy(F.concat_ws("_", "symbol", F.to_date("ts").cast("string")).alias("key")).agg(F.count("*").alias("records"))
-    return keys.groupBy(F.substring_index("key", "_", 1).alias("data_type")).agg(F.count("*").alias("n"), F.sum("records").alias("records"))
+    keys = fx.ticks(spark, sf).groupBy(F.concat_ws("_", "symbol", F.to_date("ts").cast("string")).alias("key")).agg(F.count("*").alias("records"), F.lit(0).alias("bytes"))
+    return storage.key_stats(keys).drop("bytes")
 
 
 @query("twap_15m", f"""{TICKS}, x AS (SELECT symbol, time_bucket(INTERVAL 15 minute, ts) AS bucket, ts, price, sequence FROM ticks),
@@ -336,7 +332,8 @@ def outside_news(spark, sf):
 
 @query("news_window", f"WITH {fx.NEWS_SQL} SELECT ts, title, impact FROM news WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20'")
 def news_window(spark, sf):
-    return fx.news(spark, sf).filter("ts between timestamp_ntz '2024-01-03' and timestamp_ntz '2024-01-20'").select("ts", "title", "impact")
+    bounds = [F.expr(f"timestamp_ntz '2024-01-{d}'") for d in ("03", "20")]
+    return storage.time_filter(fx.news(spark, sf), *bounds).select("ts", "title", "impact")
 
 
 @query("time_to_news", f"{BARS}, {fx.NEWS_SQL} SELECT b.ts, n.title AS next_title FROM (SELECT ts FROM bars WHERE symbol = 'purchase') b ASOF LEFT JOIN news n ON b.ts <= n.ts")

@@ -22,6 +22,11 @@ def time_filter(df: DataFrame, start=None, end=None, ts: str = "ts") -> DataFram
     return df
 
 
+def by_day(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """(ts_date, start, end, records) of each day."""
+    return df.groupBy(F.to_date(ts).alias("ts_date")).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("records"))
+
+
 class Store:
     """Tables under one root, partitioned by data type and day, so that time bounds prune folders."""
 
@@ -38,6 +43,8 @@ class Store:
 
     def store(self, df: DataFrame, data_type: str) -> bool:
         done = self.write(df, data_type)
+        if done and "table" in ROUTES.get(data_type, ()) and self.spark.catalog.tableExists(data_type):
+            self.spark.catalog.recoverPartitions(data_type)  # the table lies over the same files; it learns of new days
         if done and "cache" in ROUTES.get(data_type, ()):
             self.put(f"{data_type}:latest", df)
         return done
@@ -102,13 +109,17 @@ class Store:
         return len(old)
 
     def compact(self, data_type: str, files_per_day: int = 1) -> None:
-        """Rewrites each day into few files sorted by symbol and time, beside the old ones, and then swaps them."""
+        """Rewrites each day into few files sorted by symbol and time, beside the old ones. The old folder is renamed aside
+        and deleted only when the new one stands in its place, so that a crash leaves one of the two whole."""
         df = self.spark.read.parquet(f"{self.root}/{data_type}")
         target = f"{self.root}/_{data_type}_compacted"
         df.repartition("ts_date", *([F.pmod(F.xxhash64("symbol"), F.lit(files_per_day))] if files_per_day > 1 else [])).sortWithinPartitions("ts_date", "symbol", "ts").write.mode("overwrite").option("compression", "lz4_raw").partitionBy("ts_date").parquet(target)
         fs, old = self._path(f"{self.root}/{data_type}")
-        fs.delete(old, True)
-        fs.rename(self._path(target)[1], old)
+        aside = self._path(f"{self.root}/_{data_type}_replaced")[1]
+        fs.delete(aside, True)
+        if not fs.rename(old, aside) or not fs.rename(self._path(target)[1], old):
+            raise OSError(f"{data_type}: the compacted folder could not be renamed; the rows are in {aside} or {old}")
+        fs.delete(aside, True)
 
     def stats(self, data_types: list[str]) -> DataFrame:
         each = [self.partitions(t).agg(F.lit(t).alias("data_type"), F.count("*").alias("partitions"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes")) for t in data_types]
