@@ -197,56 +197,93 @@ def hilbert_trend(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def recursive(f: pd.DataFrame) -> dict[str, pd.Series]:
-    """Every recurrence of the catalogue on one series of bars in time order."""
-    c, h, low, v = f["close"], f["high"], f["low"], f["volume"]
-    out: dict[str, pd.Series] = {f"ema_{p}": ema(c, p) for p in (3, 5, 8, 13, 20, 21, 34, 55)}
+def _averages(f: pd.DataFrame) -> dict[str, pd.Series]:
+    c = f["close"]
+    out = {f"ema_{p}": ema(c, p) for p in (3, 5, 8, 13, 20, 21, 34, 55)}
     out |= {f"ema_first_{p}": ewm(c, 2 / (p + 1)) for p in (5, 13)}
     for p in (8, 21):
         e1 = ema(c, p)
         e2 = ema(e1, p)
         out |= {f"dema_{p}": 2 * e1 - e2, f"tema_{p}": 3 * e1 - 3 * e2 + ema(e2, p)}
-    out |= {f"kama_{p}": pd.Series(kama(c.to_numpy(), p), index=c.index) for p in (10, 20)}
-    tr = true_range(f)
-    out |= {f"atr_{p}": wilder(tr, p) for p in (7, 14, 20, 21)}
-    out |= {"atr_14_ema": ewm(tr, 2 / 15), "natr_14": 100 * wilder(tr, 14, skip=1) / c}
-    out |= {f"rsi_{p}": rsi(c, p) for p in (7, 14, 21)} | {"rsi_variant_14": rsi_variant(c, 14)}
+    e3 = ema(ema(ema(c, 14), 14), 14)
+    return out | {"trix_14": 100 * (e3 / e3.shift() - 1)}
+
+
+def _ranges(f: pd.DataFrame) -> dict[str, pd.Series]:
+    tr, middle, atr20 = true_range(f), ema(f["close"], 20), wilder(true_range(f), 20)
+    out = {f"atr_{p}": wilder(tr, p) for p in (7, 14, 20, 21)}
+    out |= {"atr_14_ema": ewm(tr, 2 / 15), "natr_14": 100 * wilder(tr, 14, skip=1) / f["close"]}
+    return out | {"keltner_upper": middle + 2 * atr20, "keltner_lower": middle - 2 * atr20}
+
+
+def _strengths(f: pd.DataFrame) -> dict[str, pd.Series]:
+    c = f["close"]
+    out = {f"rsi_{p}": rsi(c, p) for p in (7, 14, 21)} | {"rsi_variant_14": rsi_variant(c, 14)}
     r14 = out["rsi_14"]
     span = r14.rolling(5).max() - r14.rolling(5).min()
     k = (100 * (r14 - r14.rolling(5).min()) / span.where(span != 0)).where(span != 0, 0.0).where(span.notna())
     out |= {"stochrsi_k": k, "stochrsi_d": k.rolling(3).mean()}
+    d = c.diff()
+    for p in (14, 21):
+        up, down = wilder(d.clip(lower=0), p), wilder((-d).clip(lower=0), p)
+        out[f"cmo_{p}"] = 100 * (up - down) / (up + down).where(up + down != 0)
+    return out
+
+
+def _convergence(f: pd.DataFrame) -> dict[str, pd.Series]:
+    c = f["close"]
     macd = seeded(c, 12, 2 / 13, skip=14) - ema(c, 26)
-    signal = ema(macd, 9)
-    out |= {"macd": macd.where(signal.notna()), "macd_signal": signal, "macd_hist": macd - signal}
     fix = seeded(c, 12, 0.15, skip=14) - seeded(c, 26, 0.075)
-    fixed = ema(fix, 9)
-    out |= {"macdfix": fix.where(fixed.notna()), "macdfix_signal": fixed}
-    d = c.diff()
-    up, down = wilder(d.clip(lower=0), 14), wilder((-d).clip(lower=0), 14)
-    up21, down21 = wilder(d.clip(lower=0), 21), wilder((-d).clip(lower=0), 21)
-    out |= {"cmo_14": 100 * (up - down) / (up + down).where(up + down != 0), "cmo_21": 100 * (up21 - down21) / (up21 + down21).where(up21 + down21 != 0)}
-    e3 = ema(ema(ema(c, 14), 14), 14)
-    out |= {"trix_14": 100 * (e3 / e3.shift() - 1)} | directional(f)
+    signal, fixed = ema(macd, 9), ema(fix, 9)
+    return {"macd": macd.where(signal.notna()), "macd_signal": signal, "macd_hist": macd - signal, "macdfix": fix.where(fixed.notna()), "macdfix_signal": fixed}
+
+
+def _flows(f: pd.DataFrame) -> dict[str, pd.Series]:
+    c, h, low, v = f["close"], f["high"], f["low"], f["volume"]
     flow = ((c - low) - (h - c)) / (h - low).where(h != low)
     ad = (flow.fillna(0) * v).cumsum()
     osc = ewm(ad, 2 / 4) - ewm(ad, 2 / 11)
-    out |= {"adosc": osc.where(np.arange(len(f)) >= 9), "chaikin_osc": ema(ad, 3) - ema(ad, 10), "volume_ema_20": ema(v, 20), "force_13": ema(d * v, 13)}
-    out |= {"keltner_upper": out["ema_20"] + 2 * out["atr_20"], "keltner_lower": out["ema_20"] - 2 * out["atr_20"]}
-    stop, side = sar(h.to_numpy(), low.to_numpy())
-    out |= {"sar": pd.Series(stop, index=c.index), "sarext": pd.Series(np.where(side < 0, -stop, stop), index=c.index)}
-    m, fama = mama(c.to_numpy(), h.to_numpy(), low.to_numpy())
-    out |= {"ht_trendline": pd.Series(hilbert_trend(c.to_numpy()), index=c.index)}
-    return out | {"mama": pd.Series(m, index=c.index), "fama": pd.Series(fama, index=c.index)}
+    return {"adosc": osc.where(np.arange(len(f)) >= 9), "chaikin_osc": ema(ad, 3) - ema(ad, 10), "volume_ema_20": ema(v, 20), "force_13": ema(c.diff() * v, 13)}
+
+
+def _adaptive(f: pd.DataFrame) -> dict[str, pd.Series]:
+    return {f"kama_{p}": pd.Series(kama(f["close"].to_numpy(), p), index=f.index) for p in (10, 20)}
+
+
+def _stops(f: pd.DataFrame) -> dict[str, pd.Series]:
+    stop, side = sar(f["high"].to_numpy(), f["low"].to_numpy())
+    return {"sar": pd.Series(stop, index=f.index), "sarext": pd.Series(np.where(side < 0, -stop, stop), index=f.index)}
+
+
+def _trend(f: pd.DataFrame) -> dict[str, pd.Series]:
+    return {"ht_trendline": pd.Series(hilbert_trend(f["close"].to_numpy()), index=f.index)}
+
+
+def _phases(f: pd.DataFrame) -> dict[str, pd.Series]:
+    m, follow = mama(f["close"].to_numpy(), f["high"].to_numpy(), f["low"].to_numpy())
+    return {"mama": pd.Series(m, index=f.index), "fama": pd.Series(follow, index=f.index)}
+
+
+#: Families of recurrences; of each, all are made or none.
+FAMILIES = (_averages, _ranges, _strengths, _convergence, _flows, directional, _adaptive, _stops, _trend, _phases)
+
+
+def recursive(f: pd.DataFrame, families: tuple = FAMILIES) -> dict[str, pd.Series]:
+    """The recurrences of the families on one series of bars in time order."""
+    return {name: x for family in families for name, x in family(f).items()}
 
 
-def names() -> list[str]:
+def names(family=None) -> list[str]:
     x = pd.DataFrame({n: np.arange(1.0, 5.0) for n in ("open", "high", "low", "close", "volume")})
-    return list(recursive(x))
+    return list(recursive(x, (family,) if family else FAMILIES))
 
 
 def recurrences(bars: DataFrame, wanted: list[str] | None = None, chunk: int = 100_000, overlap: int = 8192) -> DataFrame:
-    """bars -> symbol, ts and the named recurrences, or all."""
+    """bars -> symbol, ts and the named recurrences, or all; only their families are computed. chunk is at least overlap."""
+    if overlap > chunk:
+        raise ValueError("a chunk must be at least as long as its overlap")
     wanted = wanted or names()
+    families = tuple(x for x in FAMILIES if set(names(x)) & set(wanted))
     at = F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1
     x = bars.select("symbol", "ts", "open", "high", "low", "close", "volume").withColumn("_at", at)
     # a row also warms up the chunk after its own
@@ -256,7 +293,7 @@ def recurrences(bars: DataFrame, wanted: list[str] | None = None, chunk: int = 1
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("ts", ignore_index=True)
-        out = recursive(f)
+        out = recursive(f, families)
         mine = (f["_own"] == f["_chunk"]).to_numpy()
         return pd.DataFrame({"symbol": f["symbol"], "ts": f["ts"], **{n: out[n].astype(float) for n in wanted}})[mine]
 

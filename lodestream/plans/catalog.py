@@ -409,6 +409,96 @@ r AS (
 ) SELECT b1.symbol, b1.ts, round(CASE WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END, 6) + 0.0 AS rsi_14 FROM b1 LEFT JOIN r ON r.symbol = b1.symbol AND r.n = b1.n""", 6)
 
 
+# Chains of recurrences: DuckDB carries the state of all of them from bar to bar in one recursive query.
+
+SERIES = f"""WITH RECURSIVE bars AS ({fx.BARS_1D_SQL.split(' AS (', 1)[1]},
+b0 AS (SELECT *, row_number() OVER w AS n, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lead(high) OVER w AS h2, lead(low) OVER w AS l2 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+b AS (SELECT *, close - c1 AS d, greatest(close - c1, 0) AS up, greatest(c1 - close, 0) AS down, {TR} AS tr, (close - c1) * volume AS force,
+ sum(coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume) OVER w AS ad, abs(close - c1) AS step,
+ CASE WHEN high - h1 > l1 - low AND high > h1 THEN high - h1 ELSE 0 END AS plus, CASE WHEN l1 - low > high - h1 AND l1 > low THEN l1 - low ELSE 0 END AS minus FROM b0 WINDOW w AS (PARTITION BY symbol ORDER BY n))"""
+
+
+def _mean(name: str, x: str, start: int, p: int, alpha: float) -> tuple[str, ...]:
+    """A recurrence over x, which stands from row `start` on: the mean of the first p, then y + alpha * (x - y)."""
+    return name, x, start, p, f"w_{name} / {p}", f"r.y_{name} + {alpha!r} * (({x}) - r.y_{name})"
+
+
+def _chained(specs: list[tuple], finals: dict[str, str], source: str = SERIES, table: str = "b") -> str:
+    """specs: (name, input, first row, rows of the seed, seed, step); w_ is a seed's sum so far, v_ a value of this row, y_ one of the row before."""
+    state = ", ".join(f"a_{n}, y_{n}" for n, *_ in specs)
+    start = ", ".join("0::DOUBLE, NULL::DOUBLE" for _ in specs)
+    step = ", ".join(
+        f"CASE WHEN b.n >= {at} AND b.n < {at + p} THEN r.a_{n} + ({x}) ELSE r.a_{n} END AS w_{n}, CASE WHEN b.n < {at + p - 1} THEN NULL WHEN b.n = {at + p - 1} THEN {seed} ELSE {go} END AS v_{n}"
+        for n, x, at, p, seed, go in specs
+    )
+    w = "OVER (PARTITION BY symbol ORDER BY n)"
+    out = ", ".join(rnd(e.replace("@w", w), n, 4) for n, e in finals.items())
+    return f"""{source}, r(symbol, n, {state}) AS (
+  SELECT DISTINCT symbol, 0::BIGINT, {start} FROM {table}
+  UNION ALL SELECT b.symbol, b.n, {step} FROM r JOIN {table} b ON b.symbol = r.symbol AND b.n = r.n + 1
+), j AS (SELECT b.*, {', '.join(f'y_{n}' for n, *_ in specs)} FROM {table} b JOIN r ON r.symbol = b.symbol AND r.n = b.n)
+SELECT symbol, ts, {out} FROM j"""
+
+
+def _scans(name: str, specs: list[tuple], finals: dict[str, str], source: str = SERIES, table: str = "b"):
+    query(name, _chained(specs, finals, source, table))(lambda spark, sf: rounded(scan.recurrences(fx.bars_1d(spark, sf), list(finals)), 4))
+
+
+def _ema(name: str, x: str, start: int, p: int) -> tuple[str, ...]:
+    return _mean(name, x, start, p, 2 / (p + 1))
+
+
+_scans("scan_averages", [_ema(f"e{p}", "b.close", 1, p) for p in (3, 8, 13, 20, 34)] + [_mean(f"f{p}", "b.close", 1, 1, 2 / (p + 1)) for p in (5, 13)], {f"ema_{p}": f"y_e{p}" for p in (3, 8, 13, 20, 34)} | {f"ema_first_{p}": f"y_f{p}" for p in (5, 13)})
+_scans(
+    "scan_chained_averages",
+    [x for p in (8, 14, 21) for x in (_ema(f"a{p}", "b.close", 1, p), _ema(f"b{p}", f"v_a{p}", p, p), _ema(f"c{p}", f"v_b{p}", 2 * p - 1, p))],
+    {f"dema_{p}": f"2 * y_a{p} - y_b{p}" for p in (8, 21)} | {f"tema_{p}": f"3 * y_a{p} - 3 * y_b{p} + y_c{p}" for p in (8, 21)} | {"trix_14": "100 * (y_c14 / lag(y_c14) @w - 1)"},
+)
+_scans(
+    "scan_macd",
+    [_ema("fast", "b.close", 15, 12), _ema("slow", "b.close", 1, 26), _ema("sig", "v_fast - v_slow", 26, 9), _mean("fast2", "b.close", 15, 12, 0.15), _mean("slow2", "b.close", 1, 26, 0.075), _ema("sig2", "v_fast2 - v_slow2", 26, 9)],
+    {"macd": "CASE WHEN y_sig IS NOT NULL THEN y_fast - y_slow END", "macd_signal": "y_sig", "macd_hist": "y_fast - y_slow - y_sig", "macdfix": "CASE WHEN y_sig2 IS NOT NULL THEN y_fast2 - y_slow2 END", "macdfix_signal": "y_sig2"},
+)
+RSI = "CASE WHEN y_d{0} = 0 THEN 100 ELSE 100 - 100 / (1 + y_u{0} / y_d{0}) END"
+_scans(
+    "scan_wilder",
+    [_mean(f"{k}{p}", f"b.{x}", 2, p, 1 / p) for p in (7, 14, 21) for k, x in (("u", "up"), ("d", "down"))]
+    + [(f"{k}v", f"b.{x}", 2, 14, f"(w_{k}v / 14 * 13 + b.{x}) / 14", f"r.y_{k}v + (b.{x} - r.y_{k}v) / 14") for k, x in (("u", "up"), ("d", "down"))]
+    + [_mean(f"t{p}", "b.tr", 1, p, 1 / p) for p in (20, 21)] + [_mean("te", "b.tr", 1, 1, 2 / 15), _ema("e20", "b.close", 1, 20)],
+    {"rsi_7": RSI.format(7), "rsi_21": RSI.format(21), "rsi_variant_14": RSI.format("v"), "cmo_14": "100 * (y_u14 - y_d14) / nullif(y_u14 + y_d14, 0)", "cmo_21": "100 * (y_u21 - y_d21) / nullif(y_u21 + y_d21, 0)", "atr_20": "y_t20", "atr_21": "y_t21", "atr_14_ema": "y_te", "keltner_upper": "y_e20 + 2 * y_t20", "keltner_lower": "y_e20 - 2 * y_t20"},
+)
+_scans("scan_flows", [_mean("a3", "b.ad", 1, 1, 0.5), _mean("a10", "b.ad", 1, 1, 2 / 11), _ema("s3", "b.ad", 1, 3), _ema("s10", "b.ad", 1, 10), _ema("force", "b.force", 2, 13)], {"adosc": "CASE WHEN n >= 10 THEN y_a3 - y_a10 END", "chaikin_osc": "y_s3 - y_s10", "force_13": "y_force"})
+
+
+def _summed(name: str, x: str) -> tuple[str, ...]:
+    """A sum that loses a fourteenth of itself with every new value."""
+    return name, x, 2, 13, f"w_{name}", f"r.y_{name} - r.y_{name} / 14 + {x}"
+
+
+DX = "CASE WHEN {0}plus + {0}minus = 0 THEN 0 ELSE 100 * abs({0}plus - {0}minus) / ({0}plus + {0}minus) END"
+_scans(
+    "scan_directional",
+    [_summed("range", "b.tr"), _summed("plus", "b.plus"), _summed("minus", "b.minus"), _mean("adx", DX.format("v_"), 15, 14, 1 / 14)],
+    {"plus_di": "CASE WHEN n >= 15 THEN 100 * y_plus / nullif(y_range, 0) END", "minus_di": "CASE WHEN n >= 15 THEN 100 * y_minus / nullif(y_range, 0) END", "dx": f"CASE WHEN n >= 15 THEN {DX.format('y_')} END", "adx": "y_adx", "adxr": "(y_adx + lag(y_adx, 13) @w) / 2"},
+)
+ADAPTIVE = SERIES + ", k AS (SELECT *, " + ", ".join(f"pow(coalesce(abs(close - lag(close, {p}) OVER w) / nullif(sum(step) OVER (PARTITION BY symbol ORDER BY n ROWS {p - 1} PRECEDING), 0), 1) * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS w{p}" for p in (10, 20)) + " FROM b WINDOW w AS (PARTITION BY symbol ORDER BY n))"
+_scans("scan_kama", [(f"k{p}", "b.close", p, 1, "b.close", f"r.y_k{p} + b.w{p} * (b.close - r.y_k{p})") for p in (10, 20)], {f"kama_{p}": f"CASE WHEN n > {p} THEN y_k{p} END" for p in (10, 20)}, ADAPTIVE, "k")
+
+query("scan_sar", f"""{SERIES}, r AS (
+  SELECT symbol, n, NOT (low - l2 > greatest(h2 - high, 0)) AS rising, CASE WHEN low - l2 > greatest(h2 - high, 0) THEN l2 ELSE h2 END AS far, 0.02::DOUBLE AS rate, NULL::DOUBLE AS held, CASE WHEN low - l2 > greatest(h2 - high, 0) THEN high ELSE low END AS stop FROM b WHERE n = 1
+  UNION ALL SELECT b.symbol, b.n, CASE WHEN r.rising THEN b.low > r.stop ELSE b.high >= r.stop END AS risen,
+    CASE WHEN risen <> r.rising THEN CASE WHEN risen THEN b.high ELSE b.low END WHEN risen THEN greatest(r.far, b.high) ELSE least(r.far, b.low) END AS edge,
+    CASE WHEN risen <> r.rising THEN 0.02 WHEN (risen AND b.high > r.far) OR (NOT risen AND b.low < r.far) THEN least(r.rate + 0.02, 0.2) ELSE r.rate END AS pace,
+    CASE WHEN risen = r.rising THEN r.stop WHEN risen THEN least(r.far, b.l1, b.low) ELSE greatest(r.far, b.h1, b.high) END AS kept,
+    CASE WHEN risen THEN least(kept + pace * (edge - kept), b.l1, b.low) ELSE greatest(kept + pace * (edge - kept), b.h1, b.high) END
+  FROM r JOIN b ON b.symbol = r.symbol AND b.n = r.n + 1
+) SELECT b.symbol, b.ts, {rnd('held', 'sar', 7)}, {rnd('CASE WHEN rising THEN held ELSE -held END', 'sarext', 7)} FROM b LEFT JOIN r ON r.symbol = b.symbol AND r.n = b.n""")(lambda spark, sf: rounded(scan.recurrences(fx.bars_1d(spark, sf), ["sar", "sarext"]), 7))
+_scans(
+    "scan_stochrsi", [_mean("u14", "b.up", 2, 14, 1 / 14), _mean("d14", "b.down", 2, 14, 1 / 14)], {"stochrsi_k": "k", "stochrsi_d": "CASE WHEN count(k) OVER (PARTITION BY symbol ORDER BY n ROWS 2 PRECEDING) = 3 THEN avg(k) OVER (PARTITION BY symbol ORDER BY n ROWS 2 PRECEDING) END"}
+)
+ORACLES["scan_stochrsi"] = ORACLES["scan_stochrsi"].replace(" FROM j", " FROM (SELECT symbol, ts, n, CASE WHEN c = 5 THEN CASE WHEN hi = lo THEN 0 ELSE 100 * (x - lo) / (hi - lo) END END AS k FROM (SELECT *, max(x) OVER f AS hi, min(x) OVER f AS lo, count(x) OVER f AS c FROM (SELECT *, " + RSI.format(14) + " AS x FROM j) WINDOW f AS (PARTITION BY symbol ORDER BY n ROWS 4 PRECEDING)))")
+
+
 @query("recurrences_all")
 def recurrences_all(spark, sf):
     return rounded(scan.recurrences(fx.bars_1h(spark, sf)))
