@@ -194,22 +194,22 @@ class HotWords:
     """The broadcast words: sorted hashes, reached through their leading bits, and the ids of each. A hash with the
     word's length stands for it. The last entry is the hole, a single id that no piece has."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array, n_ids: int):
-        kind = "<u2" if n_ids < 0xFFFF else "<u4"
+    def __init__(self, h: np.ndarray, length: np.ndarray, ids: list[np.ndarray], count: np.ndarray, kind: np.dtype):
+        """h, length, count: of each word; ids: theirs in a row, in parts. Some 20 bytes a word."""
         self.hole = int(np.iinfo(kind).max)
-        joined, begins = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1].astype(np.int64)
-        lengths = np.diff(begins)
-        h = np.concatenate([token_hashes(joined[a[0] : a[-1]], a[:-1] - a[0], a[1:] - a[0]) for k in range(0, len(words), 1 << 15) if len(a := begins[k : k + (1 << 15) + 1])] or [np.zeros(0, np.uint64)])
-        flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")
-        at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset :][: len(ids) + 1].astype(np.int64) // 4
+        flat, at = np.concatenate([np.zeros(0, kind), *ids]), np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         order = np.argsort(h)
-        self.hash, self.length = h[order], lengths[order].astype(np.uint8)
-        self.count = np.append(np.diff(at)[order], 1).astype(np.int32)
-        values, start = _gather(flat, at[:-1][order], np.diff(at)[order])
-        self.ids, self.start = np.append(values.astype(kind), np.array([self.hole], kind)), start.astype(np.int64)
-        self.bits = max(8, min(20, len(h).bit_length()))
+        self.hash, self.length, self.count = h[order], length[order], np.append(count[order], np.uint8(1))
+        values, start = _gather(flat, at[:-1][order], count[order].astype(np.int64))
+        self.ids, self.start = np.append(values, np.array([self.hole], kind)), start.astype(np.uint32)
+        self.bits = max(8, min(22, len(h).bit_length()))
         self.begin = np.searchsorted(self.hash >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 
+    @staticmethod
+    def kind(path: str) -> np.dtype:
+        """Ids of two bytes where all of them fit beside the hole."""
+        return np.dtype("<u2" if tokenizer(path).get_vocab_size(with_added_tokens=True) < 0xFFFF else "<u4")
+
     def find(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The entry of each word, the hole's for those not here."""
         lead = (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -229,7 +229,7 @@ class HotWords:
         joined = b"\n".join([*(s for _, s in run), b""])
         b, first, last = split_words(joined)
         entry = self.find(token_hashes(b, first, last), last - first)
-        ids, begins = _gather(self.ids, self.start[entry], self.count[entry])
+        ids, begins = _gather(self.ids, self.start[entry].astype(np.int64), self.count[entry].astype(np.int64))
         holes = np.flatnonzero(entry == len(self.hash))
         starts = np.concatenate([[0], np.cumsum([len(s) + 1 for _, s in run])])
         cuts = np.searchsorted(first, starts)
@@ -274,7 +274,7 @@ def word_table(texts: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     return scratch.cut(word_counts(texts).mapInArrow(encode, "word binary, n long, ids binary"), "words")
 
 
-def hot_words(table: DataFrame, path: str, most: int = 1 << 20) -> tuple[Broadcast, DataFrame]:
+def hot_words(table: DataFrame, path: str, most: int = 1 << 22) -> tuple[Broadcast, DataFrame]:
     """The broadcast of at most `most` words of at most 64 bytes, all that occur at least so and so often; the rest of the table."""
     short = F.octet_length("word") <= _LONGEST
     step = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
@@ -285,13 +285,27 @@ def hot_words(table: DataFrame, path: str, most: int = 1 << 20) -> tuple[Broadca
             break
         least = r["least"]
     hot = short & (F.col("n") >= least)
-    rows = table.filter(hot).select("word", "ids").toArrow().combine_chunks()
-    columns = [c.chunk(0) if c.num_chunks else pa.array([], pa.binary()) for c in (rows.column("word"), rows.column("ids"))]
-    shared = table.sparkSession.sparkContext.broadcast(HotWords(*columns, tokenizer(path).get_vocab_size(with_added_tokens=True)))
+    kind = HotWords.kind(path)
+
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            end = np.cumsum([len(w) for w in words], dtype=np.int64)
+            length = np.diff(end, prepend=0)
+            h = token_hashes(np.frombuffer(b"".join(words), np.uint8), end - length, end)
+            count = np.array([len(x) // 4 for x in ids], np.uint8)
+            columns = [x.tobytes() for x in (h, length.astype(np.uint8), np.frombuffer(b"".join(ids), "<u4").astype(kind), count)]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["h", "length", "ids", "count"])
+
+    parts = table.filter(hot).select("word", "ids").mapInArrow(slim, "h binary, length binary, ids binary, count binary").toArrow()
+    read = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in parts.column(c)]
+    whole = lambda c, kind: np.concatenate([np.zeros(0, kind), *read(c, kind)])
+    words = HotWords(whole("h", np.uint64), whole("length", np.uint8), read("ids", kind), whole("count", np.uint8), kind)
+    shared = table.sparkSession.sparkContext.broadcast(words)
     return shared, table.filter(~hot).select("word", "ids")
 
 
-def encoded(docs: DataFrame, path: str, finish: Callable[[], Callable], schema: str, most: int = 1 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str, finish: Callable[[], Callable], schema: str, most: int = 1 << 22) -> DataFrame:
     """docs (doc_id, text) -> rows of schema. finish() is called in a task and returns a function from (doc_ids, packed
     little-endian unsigned 32-bit ids of each) to a record batch. most: words that are broadcast at most."""
     docs = docs.select("doc_id", "text")
