@@ -77,6 +77,16 @@ def fill_calendar(bars: DataFrame, freq: str, limit: int = 3, weekends: bool = F
     return x.select("symbol", "ts", Rolling().ffill_limited("close", limit).alias("close"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
+def interpolate(df: DataFrame, column: str, order: str = "ts", by: str = "symbol") -> Column:
+    """Nulls between two known values on the straight line between them, by time; others stay null."""
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    known = F.when(F.col(column).isNotNull(), F.struct(at.alias("t"), F.col(column).alias("v")))
+    back = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy(by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    a, b = F.last(known, True).over(back), F.first(known, True).over(on)
+    return F.coalesce(F.col(column), a["v"] + (b["v"] - a["v"]) * F.try_divide(at - a["t"], b["t"] - a["t"]))
+
+
 def robust_scale(df: DataFrame, columns: list[str], by: str = "symbol", clip: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """(x - median) / interquartile range, after clipping at two percentiles of the symbol."""
     x = df

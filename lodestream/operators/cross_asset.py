@@ -36,6 +36,7 @@ def features(x: DataFrame, names: list[str] = ASSETS, windows: tuple[int, ...] =
         for k in (5, 20):
             g, a = R.pct("close", k), R.pct(n, k)
             out[f"{n}_divergence_{k}"] = F.when((g > 0) & (a < 0), 1).when((g < 0) & (a > 0), -1).otherwise(0)
+        out[f"{n}_rate_differential"] = R.pct("close") - R.pct(n)
         out[f"{n}_relative_strength"] = F.try_divide(R.pct("close", 20), R.pct(n, 20))
     g20 = R.pct("close", 20)
     out["risk_on_off"] = F.when(R.pct("SPY", 20) > g20, 1).otherwise(-1) if "SPY" in names else F.lit(0)

@@ -13,7 +13,7 @@ from .ordered import quantiles, running
 
 @dataclass(frozen=True)
 class BoostedTrees:
-    """Gradient-boosted trees; depth, rate and sampling as in the two reference models, classes weighed by neg / pos."""
+    """Gradient-boosted trees of Spark, classes weighed by neg / pos; one class for both kinds of boosting."""
 
     rounds: int = 50
     depth: int = 6
@@ -199,6 +199,53 @@ def search(df: DataFrame, features: list[str], label: str, grid: dict[str, list]
     return cv.fit(df.withColumn("_label", F.col(label).cast("double")))
 
 
+def top_features(scores: DataFrame, n: int = 10, column: str = "score") -> DataFrame:
+    """The n features of greatest absolute score, ties by name."""
+    return scores.orderBy(F.desc(F.abs(column)), "feature").limit(n)
+
+
+def prune_features(scores: DataFrame, threshold: float, column: str = "score") -> list[str]:
+    """Names of the features whose score reaches the threshold, best first."""
+    return [r["feature"] for r in scores.filter(F.col(column) >= threshold).orderBy(F.desc(column), "feature").collect()]
+
+
+def cross_validate(df: DataFrame, features: list[str], label: str, order: list[str], k: int = 5, model: BoostedTrees | None = None) -> tuple[DataFrame, list[float]]:
+    """(df with fold and oof, log loss of each fold): each fold is scored by a model of all rows before it; the head that is
+    never tested scores 0."""
+    model, folded = model or BoostedTrees(), expanding_folds(df, order, k)
+    out, losses = folded.filter("fold = 0").withColumn("oof", F.lit(0.0)), []
+    for fold in range(1, k + 1):
+        scored = predict(model.fit(folded.filter(F.col("fold") < fold), features, label), folded.filter(F.col("fold") == fold)).withColumnRenamed("p", "oof").drop("predicted", "confidence")
+        q = F.least(F.greatest("oof", F.lit(1e-15)), F.lit(1 - 1e-15))
+        losses.append(scored.agg(F.avg(-F.when(F.col(label) == 1, F.ln(q)).otherwise(F.ln(1 - q)))).first()[0])
+        out = out.unionByName(scored)
+    return out, losses
+
+
+def save_model(model, path: str, features: list[str], version: str = "1") -> str:
+    """Writes a fitted pipeline and, beside it, its features, version and a hash of both; returns the hash."""
+    import hashlib
+    import json
+
+    from pyspark.sql import SparkSession
+
+    note = {"features": features, "version": version}
+    note["hash"] = hashlib.sha256(json.dumps(note, sort_keys=True).encode()).hexdigest()[:16]
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/note")
+    return note["hash"]
+
+
+def load_model(path: str):
+    """(fitted pipeline, {features, version, hash})."""
+    import json
+
+    from pyspark.ml import PipelineModel
+    from pyspark.sql import SparkSession
+
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/note").first()[0])
+
+
 def stacked(columns: list[str], weights: list[float]) -> Column:
     """Weighted mean of base probabilities."""
     return sum((F.col(c) * w for c, w in zip(columns, weights, strict=True)), F.lit(0.0)) / sum(weights)

@@ -24,6 +24,11 @@ def performance_metrics(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("samples"), mean("cpu_percent"), mean("memory_mb"), mean("latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
 
 
+def monitor_averages(log: DataFrame, minutes: int, ts: str = "timestamp") -> DataFrame:
+    """The means and the greatest latency of the samples of the last minutes."""
+    return performance_metrics(recent(log, minutes, ts=ts))
+
+
 def recent(df: DataFrame, minutes: int, anchor=None, ts: str = "ts") -> DataFrame:
     """Rows of the last minutes before the anchor, by default the newest row."""
     if anchor is not None:

@@ -264,8 +264,22 @@ def _phases(f: pd.DataFrame) -> dict[str, pd.Series]:
     return {"mama": pd.Series(m, index=f.index), "fama": pd.Series(follow, index=f.index)}
 
 
+def _variances(f: pd.DataFrame, omega: float = 2e-6, alpha: float = 0.09, beta: float = 0.9, decay: float = 0.94) -> dict[str, pd.Series]:
+    """Conditional variance of log returns with fixed coefficients, seeded by the first squared return, and the
+    exponentially weighted volatility."""
+    r2 = np.log(f["close"] / f["close"].shift()) ** 2
+    # h = omega + alpha r2 + beta h is omega / (1 - beta) plus a weighted mean of r2, scaled
+    mean = ewm(r2, 1 - beta)
+    first = r2.first_valid_index()
+    k = pd.Series(np.arange(len(f)), index=f.index) - (list(f.index).index(first) if first is not None else 0)
+    start = r2.loc[first] if first is not None else np.nan
+    fade = beta ** k.clip(lower=0)
+    h = (mean - start * fade) * alpha / (1 - beta) + omega * (1 - fade) / (1 - beta) + start * fade
+    return {"garch_variance": h.where(mean.notna()), "ewma_volatility": np.sqrt(ewm(r2, 1 - decay))}
+
+
 #: Families of recurrences; of each, all are made or none.
-FAMILIES = (_averages, _ranges, _strengths, _convergence, _flows, directional, _adaptive, _stops, _trend, _phases)
+FAMILIES = (_averages, _ranges, _strengths, _convergence, _flows, directional, _adaptive, _stops, _trend, _phases, _variances)
 
 
 def recursive(f: pd.DataFrame, families: tuple = FAMILIES) -> dict[str, pd.Series]:

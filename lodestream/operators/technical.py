@@ -84,7 +84,7 @@ def _rolling() -> dict[str, Column]:
     out |= {f"parkinson_{p}": R.mean("_pk", p) * math.sqrt(252) for p in (20, 60)}
     out |= {f"realized_{p}": R.sum("_lr2", p) * math.sqrt(252) for p in (20, 60)}
     out |= {f"parkinson_std_{p}": F.sqrt(R.mean("_pk", p) * 4 / (4 * math.log(2)) * 252) for p in (20, 60)}
-    out |= {"rogers_satchell_20": R.mean("_rs", 20) * math.sqrt(252)}
+    out |= {f"rogers_satchell_{p}": R.mean("_rs", p) * math.sqrt(252) for p in (20, 60)}
     out |= {f"williams_{p}": _williams(p) for p in (14, 21)}
     out |= {f"cci_{p}": _cci(p) for p in (14, 20)}
     out |= {f"volume_ratio_{p}": F.try_divide(V, R.mean("volume", p)) for p in (5, 20)}
@@ -114,7 +114,8 @@ def _second() -> dict[str, Column]:
 
 
 def _third() -> dict[str, Column]:
-    return {"stoch_d": R.mean("stoch_k", 3), "macdext_hist": F.col("macdext") - F.col("macdext_signal"), "chaikin_ad_line": F.col("ad_line")}
+    squeeze = F.when(R.min("bb_width", 120).isNotNull(), (F.col("bb_width") <= R.min("bb_width", 120)).cast("int"))
+    return {"bb_squeeze": squeeze, "stoch_d": R.mean("stoch_k", 3), "macdext_hist": F.col("macdext") - F.col("macdext_signal"), "chaikin_ad_line": F.col("ad_line")}
 
 
 def technical(bars: DataFrame, names: list[str] | None = None) -> DataFrame:

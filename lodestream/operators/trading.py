@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import market_session
 from ..functions.windows import Rolling
-from .align import asof
+from .align import asof, within_events
 
 R = Rolling()
 
 
 def order_flow(ticks: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataFrame:
-    """Cumulative volume delta, trade size and buy share over the last trades."""
+    """Cumulative volume delta, trade size, buy share and trades a second over the last trades."""
     t = Rolling(order=("ts", "sequence"))
     signed = F.when(F.col("side") == "buy", F.col("volume")).when(F.col("side") == "sell", -F.col("volume")).otherwise(0.0)
     x = ticks.withColumns({"_s": signed, "_b": F.when(F.col("side") == "buy", F.col("volume")).otherwise(0.0)})
@@ -25,6 +25,8 @@ def order_flow(ticks: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataFra
     for n in windows:
         w = t.rows(n)
         out |= {f"cvd_{n}": F.sum("_s").over(w), f"trade_size_{n}": F.avg("volume").over(w), f"buy_share_{n}": F.try_divide(F.sum("_b").over(w), F.sum("volume").over(w))}
+        seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.min("ts").over(w).cast("timestamp"))) / 1e6
+        out[f"trade_rate_{n}"] = F.try_divide(F.count("*").over(w) - 1, seconds)
     return x.withColumns(out).drop("_s", "_b")
 
 
@@ -35,6 +37,29 @@ def anchored_vwap(bars: DataFrame, anchor: str) -> Column:
     return F.try_divide(F.sum(tp * F.col("volume")).over(w), F.sum("volume").over(w))
 
 
+def vwap_bands(bars: DataFrame, anchor: str, widths: tuple[float, ...] = (1.0, 2.0)) -> dict[str, Column]:
+    """The anchored mean and bands of so many volume-weighted deviations of the typical price around it."""
+    tp = (F.col("high") + F.col("low") + F.col("close")) / 3
+    w = Window.partitionBy("symbol", F.date_trunc(anchor, "ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    v = F.sum("volume").over(w)
+    mean = F.try_divide(F.sum(tp * F.col("volume")).over(w), v)
+    dev = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(tp * tp * F.col("volume")).over(w), v) - mean * mean))
+    return {"vwap": mean} | {f"vwap_{side}_{k:g}": mean + sign * k * dev for k in widths for side, sign in (("upper", 1), ("lower", -1))}
+
+
+def support_resistance(bars: DataFrame, n: int = 20) -> DataFrame:
+    """The extremes of the n bars before, and whether a bar makes a higher high or a lower low than the bar before it."""
+    return bars.withColumns({
+        "resistance": F.max("high").over(R.prior(n)), "support": F.min("low").over(R.prior(n)),
+        "higher_high": F.coalesce((F.col("high") > R.lag("high")).cast("int"), F.lit(0)), "lower_low": F.coalesce((F.col("low") < R.lag("low")).cast("int"), F.lit(0)),
+    })
+
+
+def regimes(bars: DataFrame, columns: list[str], lookback: int = 100, share: float = 0.75) -> dict[str, Column]:
+    """1 where a column exceeds its own percentile of the last rows."""
+    return {f"{c}_regime": F.coalesce((F.col(c) > F.expr(f"percentile({c}, {share})").over(R.rows(lookback))).cast("int"), F.lit(0)) for c in columns}
+
+
 def pivots(daily: DataFrame) -> DataFrame:
     """Standard, Fibonacci and Camarilla levels from the bar before."""
     h, low, c = R.lag("high"), R.lag("low"), R.lag("close")
@@ -105,6 +130,32 @@ def stop_and_target(atr_pips: Column) -> tuple[Column, Column]:
     return bound(atr_pips, 5, 20), bound(atr_pips * 1.5, 10, 30)
 
 
+#: The share of the usual size that may be traded near news, by impact.
+NEWS_SIZE = {"high": 0.0, "medium": 0.5, "low": 1.0}
+
+
+def news_size(rows: DataFrame, news: DataFrame, before: str = "5 minutes", after: str = "5 minutes") -> DataFrame:
+    """rows with size_factor: the least share that any news nearby leaves, 1 without news."""
+    kept = rows.withColumn("size_factor", F.lit(1.0))
+    for impact, factor in sorted(NEWS_SIZE.items(), key=lambda x: -x[1]):
+        events = news.filter(F.col("impact") == impact)
+        near = within_events(kept, events, before, after).withColumn("size_factor", F.lit(factor))
+        kept = near.unionByName(within_events(kept, events, before, after, inside=False))
+    return kept
+
+
+def stress(positions: DataFrame, shocks: dict[str, float]) -> DataFrame:
+    """positions (symbol, quantity, price) -> (scenario, pnl): every price moved by a scenario's share, in one aggregation."""
+    pnl = positions.agg(F.sum(F.col("quantity") * F.col("price")).alias("_value"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(x)).alias("shock")) for n, x in shocks.items()]))
+    return pnl.select("_value", each.alias("s")).select("s.scenario", (F.col("_value") * F.col("s.shock")).alias("pnl"))
+
+
+def buy_and_hold(bars: DataFrame) -> DataFrame:
+    """(symbol, ret): last close over first close, less one."""
+    return bars.groupBy("symbol").agg((F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("ret"))
+
+
 def circuit_breakers(log: DataFrame, balance: float, order: list[str], levels: tuple[float, ...] = (0.03, 0.04, 0.05)) -> DataFrame:
     """Daily drawdown as a share of the balance and the number of levels it has passed so far that day."""
     w = Window.partitionBy(F.to_date("ts")).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import book, scalar
 from ..functions.windows import Rolling
-from ..operators import align, clean, cross_asset, models, reports, resample, scan, structure, technical, trading, validate
+from ..operators import align, checks, clean, cross_asset, isolation, models, reports, resample, scan, structure, technical, trading, validate
 from ..sources import fixtures as fx
 from ..sources import storage
 from . import engine
@@ -613,7 +613,7 @@ def minimal_features(spark, sf):
 
 @query("extended_features")
 def extended_features(spark, sf):
-    return engine.default_engine().extract(fx.bars_1h(spark, sf), names=["technical", "smart_money"], fill=True)
+    return engine.default_engine().extract(fx.bars_1h(spark, sf), "extended", fill=True)
 
 
 @query("feature_stats", f"WITH {fx.FEATURES_WIDE_SQL}, u AS (UNPIVOT (SELECT label, f0, f1, f2, f3 FROM features_wide) ON f0, f1, f2, f3 INTO NAME feature VALUE v) SELECT feature, {rnd('var_samp(v)', 'variance')}, count(DISTINCT v) AS \"distinct\", {rnd('corr(v, label)', 'corr')} FROM u GROUP BY 1")
@@ -782,3 +782,124 @@ def calendar_fill(spark, sf):
 @query("robust_scaled", f"{BARS}, q AS (SELECT symbol, quantile_cont(close, 0.25) AS a, quantile_cont(close, 0.5) AS m, quantile_cont(close, 0.75) AS b, quantile_cont(close, 0.01) AS lo, quantile_cont(close, 0.99) AS hi FROM bars GROUP BY 1) SELECT symbol, ts, {rnd('(least(greatest(close, lo), hi) - m) / nullif(b - a, 0)', 'close')} FROM bars JOIN q USING (symbol)")
 def robust_scaled(spark, sf):
     return rounded(clean.robust_scale(fx.bars_1h(spark, sf), ["close"]).select("symbol", "ts", "close"))
+
+
+# Further checks -----------------------------------------------------------------------------------------------------
+
+WIDE = [f"f{i}" for i in range(24)]
+
+
+@query("youden", f"""{PRED}, s AS (SELECT p, sum(y) AS t, count(*) - sum(y) AS f FROM p2 GROUP BY 1), c AS (SELECT p, sum(t) OVER (ORDER BY p DESC) / (SELECT sum(t) FROM s) - sum(f) OVER (ORDER BY p DESC) / (SELECT sum(f) FROM s) AS j FROM s)
+SELECT arg_max(p, (round(j, 12), p)) AS threshold, {rnd('max(j)', 'j')} FROM c""")
+def youden(spark, sf):
+    return rounded(models.youden(fx.predictions(spark, sf)))
+
+
+@query("shortfall", f"{PRED}, r AS (SELECT CASE WHEN predicted = y THEN confidence * 0.01 ELSE -confidence * 0.01 END AS ret FROM p2) SELECT {rnd('avg(ret)', 'cvar_95', 9)} FROM r WHERE ret <= (SELECT quantile_cont(ret, 0.05) FROM r)")
+def shortfall(spark, sf):
+    return rounded(models.shortfall(models.strategy_returns(models.with_confidence(fx.predictions(spark, sf)))), 9)
+
+
+@query("trading_costs", f"{TICKS}, s AS (SELECT *, {SESSION.format('ts')} AS session FROM ticks) SELECT sequence, session, {rnd('0.3 * CASE session ' + ' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {m}' for n, m in trading.SPREADS.items()) + ' END * volume', 'spread_cost')}, 7.0 * volume AS commission, CASE WHEN dayofweek(ts) = 5 THEN 3 ELSE 1 END::INTEGER AS swap_days FROM s")
+def trading_costs(spark, sf):
+    x = fx.ticks(spark, sf).withColumnRenamed("volume", "quantity")
+    return rounded(trading.costs(x).select("sequence", "session", "spread_cost", "commission", "swap_days"))
+
+
+@query("position_limits", f"WITH {fx.PREDICTIONS_SQL} SELECT id, {rnd('greatest(least((p - (1 - p) / 1.5) * 0.25, 0.02), 0)', 'kelly')}, {rnd('least(greatest(p * 40, 5), 20)', 'stop')}, {rnd('least(greatest(p * 60, 10), 30)', 'target')}, CASE WHEN (0.9 - p) / 0.9 > 0.05 THEN 'degraded' WHEN id % 60 >= 30 THEN 'old' END AS retrain FROM predictions")
+def position_limits(spark, sf):
+    stop, target = trading.stop_and_target(F.col("p") * 40)
+    p, one = F.col("p"), lambda x: F.lit(float(x))
+    return rounded(fx.predictions(spark, sf).select("id", trading.kelly(p, one(1.5), one(1)).alias("kelly"), stop.alias("stop"), target.alias("target"), models.retrain_reasons(F.col("id") % 60, p, one(0.9)).alias("retrain")))
+
+
+@query("book_quality", f"""{BOOK}, s AS (SELECT *, lag(bid) OVER w AS pb, lag(ask) OVER w AS pa FROM books WINDOW w AS (PARTITION BY sequence ORDER BY i)),
+a AS (SELECT symbol, count(DISTINCT sequence) AS total, count(*) FILTER (WHERE i = 1 AND bid >= ask) + count(*) FILTER (WHERE bid >= pb) + count(*) FILTER (WHERE ask <= pa) + count(*) FILTER (WHERE bid_size <= 0) + count(*) FILTER (WHERE ask_size <= 0) AS v FROM s GROUP BY 1)
+SELECT symbol, total, 1.0::DOUBLE AS completeness, v::BIGINT AS violations, {rnd('1 - v / total', 'consistency')} FROM a""")
+def book_quality(spark, sf):
+    return rounded(validate.book_quality(fx.books(spark, sf)))
+
+
+@query("latest_book", f"{BOOK} SELECT symbol, max(sequence) AS sequence, arg_max(bid, sequence) FILTER (WHERE i = 1) AS bid FROM books GROUP BY 1")
+def latest_book(spark, sf):
+    return reports.latest(fx.books(spark, sf).select("symbol", "sequence", book.level(book.BIDS, 1, "price").alias("bid")))
+
+
+_technical("tech_stoch", {"stoch_k": full("avg(k5)", "k5", 3)}, 5, STEPS + f", b3 AS (SELECT *, CASE WHEN n >= 5 THEN coalesce(100 * (close - min(low) {over(5)}) / nullif(max(high) {over(5)} - min(low) {over(5)}, 0), 0) END AS k5 FROM b2)", "b3")
+_technical("tech_macdext", {"macdext_signal": full("avg(m)", "m", 9)}, 5, STEPS + f", b3 AS (SELECT *, CASE WHEN n >= 26 THEN avg(close) {over(12)} - avg(close) {over(26)} END AS m FROM b2)", "b3")
+_technical("tech_squeeze", {"bb_percent": "(close - (mid - 2 * dev)) / nullif(4 * dev, 0)", "bb_squeeze": f"CASE WHEN count(width) {over(120)} = 120 THEN (width <= min(width) {over(120)})::INTEGER END"}, 5, STEPS + f", b2b AS (SELECT *, {full('avg(close)', 'close', 20)} AS mid, {full('stddev_pop(close)', 'close', 20)} AS dev FROM b2), b3 AS (SELECT *, 4 * dev / nullif(mid, 0) AS width FROM b2b)", "b3")
+
+
+@query("trade_rate", f"{TICKS} SELECT sequence, {rnd('(count(*) OVER w - 1) / nullif(epoch_us(ts) - epoch_us(min(ts) OVER w), 0) * 1e6', 'trade_rate_20', 9)} FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, sequence ROWS 19 PRECEDING)")
+def trade_rate(spark, sf):
+    return rounded(trading.order_flow(fx.ticks(spark, sf)).select("sequence", "trade_rate_20"), 9)
+
+
+@query("vwap_bands", f"""{BARS}, t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), v AS (SELECT symbol, ts, sum(tp * volume) OVER w / nullif(sum(volume) OVER w, 0) AS m, sum(tp * tp * volume) OVER w / nullif(sum(volume) OVER w, 0) AS q FROM t WINDOW w AS (PARTITION BY symbol, date_trunc('day', ts) ORDER BY ts))
+SELECT symbol, ts, {rnd('m', 'vwap', 4)}, {', '.join(rnd(f'm {sign} {k} * sqrt(greatest(0, q - m * m))', f'vwap_{side}_{k}', 3) for k in (1, 2) for side, sign in (('upper', '+'), ('lower', '-')))} FROM v""")
+def vwap_bands(spark, sf):
+    bars = fx.bars_1h(spark, sf)
+    x = bars.select("symbol", "ts", *[c.alias(n) for n, c in trading.vwap_bands(bars, "day").items()])
+    return rounded(rounded(x.select("symbol", "ts", "vwap"), 4).join(rounded(x.drop("vwap"), 3), ["symbol", "ts"]), 6)
+
+
+@query("support_resistance", f"{BARS} SELECT symbol, ts, max(high) {prior(20)} AS resistance, min(low) {prior(20)} AS support, coalesce((high > {lag('high')})::INTEGER, 0) AS higher_high, coalesce((low < {lag('low')})::INTEGER, 0) AS lower_low FROM bars")
+def support_resistance(spark, sf):
+    return trading.support_resistance(fx.bars_1h(spark, sf)).select("symbol", "ts", "resistance", "support", "higher_high", "lower_low")
+
+
+@query("regimes", f"{BARS} SELECT symbol, ts, coalesce((volume > quantile_cont(volume, 0.75) {over(100)})::INTEGER, 0) AS volume_regime FROM bars")
+def regimes(spark, sf):
+    bars = fx.bars_1h(spark, sf)
+    return bars.select("symbol", "ts", *[c.alias(n) for n, c in trading.regimes(bars, ["volume"]).items()])
+
+
+@query("interpolated", f"""{BARS}, h AS (SELECT symbol, ts, CASE WHEN hour(ts) % 3 = 0 THEN close END AS close FROM bars),
+k AS (SELECT *, CASE WHEN close IS NOT NULL THEN epoch_us(ts) END AS t FROM h),
+g AS (SELECT *, last_value(close IGNORE NULLS) OVER a AS v0, last_value(t IGNORE NULLS) OVER a AS t0, first_value(close IGNORE NULLS) OVER b AS v1, first_value(t IGNORE NULLS) OVER b AS t1 FROM k
+ WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT symbol, ts, {rnd('coalesce(close, v0 + (v1 - v0) * ((epoch_us(ts) - t0) / nullif(t1 - t0, 0)))', 'close')} FROM g""")
+def interpolated(spark, sf):
+    holes = fx.bars_1h(spark, sf).select("symbol", "ts", F.when(F.hour("ts") % 3 == 0, F.col("close")).alias("close"))
+    return rounded(holes.select("symbol", "ts", clean.interpolate(holes, "close").alias("close")))
+
+
+@query("rate_differential", f"""{PURCHASE}, w AS (SELECT ts, max(close) FILTER (WHERE asset = 'DXY') AS d FROM assets GROUP BY 1), x AS (SELECT b.ts, b.close, w.d FROM base b ASOF LEFT JOIN (SELECT * FROM w WHERE d IS NOT NULL) w ON b.ts >= w.ts)
+SELECT ts, {rnd('(close / nullif(lag(close) OVER (ORDER BY ts), 0) - 1) - (d / nullif(lag(d) OVER (ORDER BY ts), 0) - 1)', '"DXY_rate_differential"')}, {rnd('CASE WHEN count(r) OVER z = 20 THEN (r - avg(r) OVER z) / nullif(stddev_samp(r) OVER z, 0) END', '"DXY_ratio_z_20"', 4)} FROM (SELECT *, close / nullif(d, 0) AS r FROM x) WINDOW z AS (ORDER BY ts ROWS 19 PRECEDING)""")
+def rate_differential(spark, sf):
+    x = cross_asset.features(cross_asset.aligned(fx.base_bars(spark, sf), fx.cross_assets(spark, sf), ["DXY"]), ["DXY"], (20,))
+    return rounded(x.select("ts", "DXY_rate_differential", F.round("DXY_ratio_z_20", 4).alias("DXY_ratio_z_20")))
+
+
+@query("news_size", f"{TICKS}, {fx.NEWS_SQL} SELECT sequence, coalesce((SELECT min(CASE impact WHEN 'high' THEN 0.0 WHEN 'medium' THEN 0.5 ELSE 1.0 END) FROM news n WHERE t.ts BETWEEN n.ts - INTERVAL 5 minute AND n.ts + INTERVAL 5 minute), 1.0)::DOUBLE AS size_factor FROM ticks t")
+def news_size(spark, sf):
+    return trading.news_size(fx.ticks(spark, sf), fx.news(spark, sf)).select("sequence", "size_factor")
+
+
+@query("stress_scenarios", f"{BARS}, p AS (SELECT symbol, arg_max(close, ts) AS price FROM bars GROUP BY 1) SELECT scenario, {rnd('sum(100 * price) * any_value(shock)', 'pnl', 4)} FROM p, (VALUES ('crash', -0.1), ('dip', -0.02), ('rally', 0.05)) s(scenario, shock) GROUP BY 1")
+def stress_scenarios(spark, sf):
+    last = fx.bars_1h(spark, sf).groupBy("symbol").agg(F.max_by("close", "ts").alias("price"), F.lit(100.0).alias("quantity"))
+    return rounded(trading.stress(last, {"crash": -0.1, "dip": -0.02, "rally": 0.05}), 4)
+
+
+@query("buy_and_hold", f"{DAILY} SELECT symbol, {rnd('arg_max(close, ts) / arg_min(close, ts) - 1', 'ret')} FROM bars GROUP BY 1")
+def buy_and_hold(spark, sf):
+    return rounded(trading.buy_and_hold(fx.bars_1d(spark, sf)))
+
+
+@query("column_checks", f"WITH {fx.FEATURES_WIDE_SQL}, u AS (UNPIVOT (SELECT {', '.join(WIDE)} FROM features_wide) ON {', '.join(WIDE)} INTO NAME col VALUE v) SELECT col AS \"column\", (SELECT count(*) FROM features_wide) AS rows, (SELECT count(*) FROM features_wide) - count(v) FILTER (WHERE NOT isnan(v)) AS nulls, count(*) FILTER (WHERE isinf(v)) AS infinite, min(v) = max(v) AS constant FROM u GROUP BY 1")
+def column_checks(spark, sf):
+    return checks.column_checks(fx.features_wide(spark, sf), WIDE)
+
+
+@query("selected_by_variance", f"WITH {fx.FEATURES_WIDE_SQL}, u AS (UNPIVOT (SELECT {', '.join(WIDE)} FROM features_wide) ON {', '.join(WIDE)} INTO NAME feature VALUE v), s AS (SELECT feature, var_samp(v::DOUBLE) AS var FROM u GROUP BY 1) SELECT feature FROM s WHERE var > (SELECT var FROM s ORDER BY var LIMIT 1 OFFSET 2) ORDER BY var DESC, feature LIMIT 10")
+def selected_by_variance(spark, sf):
+    return spark.createDataFrame([(n,) for n in engine.select_by_variance(fx.features_wide(spark, sf), WIDE, 10)], "feature string")
+
+
+_scans("scan_variances", [("g", "ln(b.close / b.c1) ** 2", 2, 1, "w_g", "2e-6 + 0.09 * ln(b.close / b.c1) ** 2 + 0.9 * r.y_g"), _mean("v", "ln(b.close / b.c1) ** 2", 2, 1, 0.06)], {"garch_variance": "y_g", "ewma_volatility": "sqrt(y_v)"})
+
+
+@query("isolation_forest")
+def isolation_forest(spark, sf):
+    return rounded(isolation.isolation_forest(fx.features_wide(spark, sf), WIDE).select("vec_id", "isolation", "anomaly"))

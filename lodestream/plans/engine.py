@@ -139,6 +139,27 @@ def select_by_correlation(df: DataFrame, columns: list[str], target: str, k: int
     return [r["feature"] for r in sorted(rows, key=lambda r: (-abs(r["corr"] or 0.0), r["feature"]))[:k]]
 
 
+def drop_constant(df: DataFrame, columns: list[str], least_variance: float = 0.0) -> list[str]:
+    """Columns of more than one distinct value whose variance is above the bound."""
+    return [r["feature"] for r in column_stats(df, columns).collect() if r["distinct"] > 1 and (r["variance"] or 0.0) > least_variance]
+
+
+def post_process(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol", "ts"), most: int = 200, limit: float = 0.95) -> DataFrame:
+    """One row a key, nulls filled forward, then backward, then by 0; constant columns go, of more than 50 the most variable
+    `most` stay, and of more than 20 those correlated beyond the limit go."""
+    rest = [c for c in df.columns if c not in keys]
+    x = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    on = Window.partitionBy(keys[0]).orderBy(keys[1]).rowsBetween(0, Window.unboundedFollowing)
+    r = Rolling(by=(keys[0],), order=(keys[1],))
+    x = x.withColumns({c: F.coalesce(r.ffill(c), F.first(c, True).over(on), F.lit(0)) for c in columns})
+    kept = drop_constant(x, columns)
+    if len(kept) > 50:
+        kept = select_by_variance(x, kept, most)
+    if len(kept) > 20:
+        kept = prune_correlated(x, kept, limit)
+    return x.select(*[c for c in df.columns if c not in columns or c in kept])
+
+
 def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson"):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import os
 import re
 from dataclasses import dataclass, field
@@ -65,6 +66,29 @@ class Settings:
     def as_dict(self) -> dict:
         return dataclasses.asdict(self)
 
+    def export(self, path: str) -> None:
+        """As a JSON document, which load reads again."""
+        with open(path, "w") as f:
+            json.dump(self.as_dict(), f, indent=2, sort_keys=True)
+
+    @classmethod
+    def load(cls, path: str, env: dict[str, str] | None = None) -> Settings:
+        """Defaults, overridden by a JSON document with environment names in it; checked."""
+        with open(path) as f:
+            out = cls().update(json.loads(substitute(f.read(), env)))
+        if wrong := out.problems():
+            raise ValueError("; ".join(wrong))
+        return out
+
+    def problems(self) -> list[str]:
+        """What is out of range, by path."""
+        shares = ("features.value_area", "risk.per_trade", "risk.daily_loss")
+        wrong = [f"{p} must lie between 0 and 1" for p in shares if not 0 < self.get(p) <= 1]
+        above = ("cleaning.max_gap_seconds", "cleaning.price_z", "cleaning.volume_iqr", "features.profile_bins", "risk.max_positions", "risk.max_trades_per_day")
+        wrong += [f"{p} must be above 0" for p in above if self.get(p) <= 0]
+        levels = list(self.risk.drawdown_levels)
+        return wrong + (["risk.drawdown_levels must rise"] if levels != sorted(levels) else [])
+
 
 def substitute(text: str, env: dict[str, str] | None = None) -> str:
     """${NAME} and ${NAME:default} from the environment; a name that is not set and has no default stays."""

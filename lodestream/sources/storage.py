@@ -121,6 +121,20 @@ class Store:
             raise OSError(f"{data_type}: the compacted folder could not be renamed; the rows are in {aside} or {old}")
         fs.delete(aside, True)
 
+    def dump_buffers(self, buffers: dict[str, DataFrame]) -> None:
+        """Writes each buffer whole, in place of what was dumped before."""
+        for name, df in buffers.items():
+            df.write.mode("overwrite").option("compression", "lz4_raw").parquet(f"{self.root}/_buffers/{name}")
+
+    def restore_buffers(self, names: list[str]) -> dict[str, DataFrame]:
+        return {name: self.spark.read.parquet(f"{self.root}/_buffers/{name}") for name in names}
+
+    def recent_features(self, feature_set: str, minutes: int, data_type: str = "features") -> DataFrame:
+        """The newest minutes of one feature set."""
+        from ..operators.reports import recent
+
+        return recent(self.read(data_type).filter(F.col("feature_set") == feature_set), minutes)
+
     def stats(self, data_types: list[str]) -> DataFrame:
         each = [self.partitions(t).agg(F.lit(t).alias("data_type"), F.count("*").alias("partitions"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes")) for t in data_types]
         return reduce(DataFrame.unionByName, each).filter("records > 0")

@@ -48,6 +48,15 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("symbol").agg(F.max_by("price", "ts").alias("price"), F.max("ts").alias("ts"))
 
 
+def progress(query) -> dict[str, float]:
+    """Counters of a running query over its recent batches: rows, rows a second, rows too late, batches and their mean duration."""
+    p = query.recentProgress
+    get = lambda x, *keys: next((x[k] for k in keys if k in x and x[k] is not None), 0)
+    late = sum(get(s, "numRowsDroppedByWatermark") for x in p for s in x["stateOperators"])
+    took = [get(x["durationMs"], "triggerExecution") for x in p]
+    return {"batches": len(p), "rows": sum(x["numInputRows"] for x in p), "rows_per_second": max([get(x, "processedRowsPerSecond") for x in p], default=0), "late": late, "batch_ms": sum(took) / len(took) if took else 0.0}
+
+
 STATE = "n long, ema double, atr double, close double"
 OUT = "symbol string, ts timestamp, close double, ema_20 double, atr_14 double"
 
