@@ -197,11 +197,11 @@ class HotWords:
     def __init__(self, h: np.ndarray, length: np.ndarray, ids: list[np.ndarray], count: np.ndarray, kind: np.dtype):
         """h, length, count: of each word; ids: theirs in a row, in parts. Some 20 bytes a word."""
         self.hole = int(np.iinfo(kind).max)
-        flat, at = np.concatenate([np.zeros(0, kind), *ids]), np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         order = np.argsort(h)
+        start = np.cumsum(count, dtype=np.int64) - count
         self.hash, self.length, self.count = h[order], length[order], np.append(count[order], np.uint8(1))
-        values, start = _gather(flat, at[:-1][order], count[order].astype(np.int64))
-        self.ids, self.start = np.append(values, np.array([self.hole], kind)), start.astype(np.uint32)
+        self.start = np.append(start[order], start[-1] + count[-1] if len(h) else 0).astype(np.uint32)
+        self.ids = np.concatenate([*ids, np.array([self.hole], kind)])
         self.bits = max(8, min(22, len(h).bit_length()))
         self.begin = np.searchsorted(self.hash >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 
@@ -298,10 +298,12 @@ def hot_words(table: DataFrame, path: str, most: int = 1 << 22) -> tuple[Broadca
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["h", "length", "ids", "count"])
 
     parts = table.filter(hot).select("word", "ids").mapInArrow(slim, "h binary, length binary, ids binary, count binary").toArrow()
-    read = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in parts.column(c)]
-    whole = lambda c, kind: np.concatenate([np.zeros(0, kind), *read(c, kind)])
-    words = HotWords(whole("h", np.uint64), whole("length", np.uint8), read("ids", kind), whole("count", np.uint8), kind)
-    shared = table.sparkSession.sparkContext.broadcast(words)
+    read = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in parts.column(c))])
+    columns = [read("h", np.uint64), read("length", np.uint8), [read("ids", kind)], read("count", np.uint8)]
+    del parts
+    shared = table.sparkSession.sparkContext.broadcast(HotWords(*columns, kind))  # the driver keeps it in a file only
+    del columns
+    release_memory()
     return shared, table.filter(~hot).select("word", "ids")
 
 

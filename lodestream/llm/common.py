@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,7 +111,8 @@ def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def release_memory() -> None:
-    """Gives memory that a task has freed back to the system; Python workers live on between tasks."""
+    """Gives memory that a task or a fit has freed back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

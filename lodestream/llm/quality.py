@@ -53,7 +53,7 @@ class FollowTheLeader:
         if 0 < share < 1:
             for _ in range(self.epochs):
                 for (bucket, value), label in zip(rows, y, strict=True):
-                    i, x = np.append(bucket, size), np.append(value, 1.0)
+                    i, x = np.append(bucket.astype(np.int64), size), np.append(value.astype(float), 1.0)
                     w = self._weights(z[i], n[i])
                     g = (tf.sigmoid(np.dot(w, x) + start) - label) * x
                     grown = n[i] + g * g
@@ -89,5 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
     rows = labelled_sample(docs, labels, label, folds, held_out, max_rows).mapInPandas(features, "doc_id long, y int, ids binary, values binary").toArrow()
     order = np.argsort(tf.mix(rows.column("doc_id").to_numpy().astype(np.uint64)), kind="stable")
-    parts = [(np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(rows.column("ids").to_pylist(), rows.column("values").to_pylist(), strict=True)]
-    return model.fit([parts[k] for k in order], rows.column("y").to_numpy().astype(float)[order])
+    # views: one copy of the sample in memory, widened text by text
+    parts = [(np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(v.as_buffer(), "<f4")) for i, v in zip(rows.column("ids"), rows.column("values"), strict=True)]
+    model.fit([parts[k] for k in order], rows.column("y").to_numpy().astype(float)[order])
+    del rows, parts
+    release_memory()
+    return model

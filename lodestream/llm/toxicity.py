@@ -104,7 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     rows = labelled_sample(docs, labels, label, folds, held_out, max_rows).mapInPandas(features, "doc_id long, y int, ids binary").toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy().astype(float)
     buckets = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("ids")]  # views: one copy of the sample in memory
-    return model.fit(buckets, y)
+    model.fit(buckets, y)
+    del rows, buckets
+    release_memory()
+    return model
 
 
 def _scores(texts: pa.Array, model) -> np.ndarray:
