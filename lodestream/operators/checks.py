@@ -27,8 +27,8 @@ def column_checks(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def repeated_columns(df: DataFrame, columns: list[str]) -> list[tuple[str, str]]:
     """Pairs of columns whose values are equal in every row, told by sums of row hashes: one aggregation."""
-    row = F.xxhash64(F.monotonically_increasing_id())
-    sums = df.agg(*[F.sum(F.xxhash64(F.col(c).cast("string"), row).cast("decimal(38,0)")).alias(c) for c in columns]).first()
+    x = df.select(F.monotonically_increasing_id().alias("_row"), *columns)
+    sums = x.agg(*[F.sum(F.xxhash64(F.col(c).cast("string"), "_row").cast("decimal(38,0)")).alias(c) for c in columns]).first()
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if sums[a] == sums[b]]
 
 
