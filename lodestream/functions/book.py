@@ -75,8 +75,8 @@ def slope(side: Column | str, k: int, least: int = 2) -> Column:
     levels = [F.get(side, F.lit(i)) for i in range(k)]
     valid = [F.coalesce(x["price"].isNotNull() & (x["size"] > 0), F.lit(False)) for x in levels]
     n = _sum([F.when(v, 1.0).otherwise(0.0) for v in valid])
-    # prices are taken relative to the first valid one, which keeps the sums of squares exact enough
-    p0 = F.coalesce(*[F.when(v, x["price"]) for v, x in zip(valid, levels, strict=True)])
+    # prices are taken relative to the first one, which keeps the sums of squares exact enough
+    p0 = F.coalesce(*[x["price"] for x in levels])
     fold = lambda f: _sum([F.when(v, f(x["price"] - p0, x["size"])).otherwise(0.0) for v, x in zip(valid, levels, strict=True)])
     sx, sy, sxy, sxx = fold(lambda x, y: x), fold(lambda x, y: y), fold(lambda x, y: x * y), fold(lambda x, y: x * x)
     return F.when(n >= least, F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))).otherwise(0.0)

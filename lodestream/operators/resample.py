@@ -41,11 +41,12 @@ def rolled(bars: DataFrame, freq: str) -> DataFrame:
 
 def multi_frequency(ticks: DataFrame, freqs: list[str] = FREQUENCIES) -> DataFrame:
     """Bars of several lengths in one table, told apart by freq. Ticks make the bars of lengths that no shorter one
-    divides; longer ones are rolled up from the longest that does."""
+    divides; longer ones are rolled up from the shortest that does, so that every plan is two aggregations deep and the
+    shuffle of ticks is reused."""
     made: dict[str, DataFrame] = {}
     for f in sorted(freqs, key=micros):
         shorter = [g for g in made if micros(f) % micros(g) == 0]
-        made[f] = rolled(made[shorter[-1]], f) if shorter else ohlcv(ticks, f)
+        made[f] = rolled(made[shorter[0]], f) if shorter else ohlcv(ticks, f)
     return reduce(DataFrame.unionByName, [derived(made[f]).withColumn("freq", F.lit(f)) for f in freqs])
 
 
