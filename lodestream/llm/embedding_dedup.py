@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +182,7 @@ def _pivots(sample: list, total: int, block: int, most: int) -> dict:
     return out
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 2048, sample_rows: int = 2048, most_pivots: int = 64) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 2048, sample_rows: int = 16_384, most_pivots: int = 256) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept; one row per input row."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -215,8 +216,12 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 2048,
     dealt = scratch.cut(classes.mapInPandas(assign, f"label {label_type}, size int, node long, dist double, rep long, copies long, v array<double>"), "dealt")
     nodes = dealt.groupBy("label", "size", "node").agg(F.ceil(F.count("*") / block).alias("n"), F.max("dist").alias("radius"))
     nodes = scratch.cut(nodes, "nodes")
-    apart = [(label, size, i, j, float(np.linalg.norm(p[i] - p[j]))) for (label, size), p in pivots.items() for i in range(len(p)) for j in range(i + 1, len(p))]
-    apart = spark.createDataFrame(apart, f"label {label_type}, size int, node long, node2 long, apart double")
+    apart = [pd.DataFrame({"label": [], "size": [], "node": [], "node2": [], "apart": []})]
+    for (label, size), p in pivots.items():
+        i, j = np.triu_indices(len(p), 1)
+        apart.append(pd.DataFrame({"label": [label] * len(i), "size": size, "node": i, "node2": j, "apart": np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)[i, j]))}))
+    apart = pa.Table.from_pandas(pd.concat(apart[1:] or apart), preserve_index=False)
+    apart = spark.createDataFrame(apart).select(F.col("label").cast(label_type), F.col("size").cast("int"), F.col("node").cast("long"), F.col("node2").cast("long"), F.col("apart").cast("double")) if apart.num_rows else spark.createDataFrame([], f"label {label_type}, size int, node long, node2 long, apart double")
     other = nodes.select("label", "size", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("radius").alias("radius2"))
     pairs = nodes.join(other, ["label", "size"]).filter("node <= node2").join(apart, ["label", "size", "node", "node2"], "left")
     pairs = pairs.filter(F.coalesce("apart", F.lit(0.0)) <= F.col("radius") + F.col("radius2") + math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK)
@@ -240,9 +245,10 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 2048,
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     per_class = classes.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = scratch.cut(per_class.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "per_class")
-    out = rows.join(per_class, ["label", "v"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    # rows that link with nothing have no key to be joined by
+    linked = good.join(per_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 ORACLE = """
