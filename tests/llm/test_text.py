@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -547,6 +548,40 @@ def test_a_long_url_leaves_the_rules_of_others(spark):
     assert sorted(r.tokens for r in left) == [["a"], ["b", "c"], ["c", "d", "e"]]
 
 
+def plain_tokens(url):
+    if not url or "://" not in url:
+        return frozenset()
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    word = lambda mark, x: mark + ("0" if re.fullmatch("[0-9]+", x) else x)
+    out = {word("h:", x) for x in host.lower().split(".") if x} | {word("p:", x) for x in re.split(r"[/._-]", path.lower()) if x}
+    return frozenset(out | {"q:" + x.lower() for x in re.findall(r"[?&]([^=&#]+)", url)})
+
+
+def test_mined_rules_against_brute_force(spark):
+    """Every token set of every labelled URL, counted one by one, in place of FP-growth and the index."""
+    from itertools import combinations
+
+    rng = random.Random(31)
+    pick = lambda *xs: rng.choice(xs)
+    urls = [f"http://{pick('a', 'b', 'c')}.{pick('org', 'io')}/{pick('news', 'spam', 'x')}/{pick('7', 'win', 'y')}{pick('', '?ref=1', '?ref=1&win=2')}" for _ in range(90)] + [None, "no url"]
+    bad = {k: int("spam" in (u or "") and rng.random() < 0.9 or "win=" in (u or "") and rng.random() < 0.8) for k, u in enumerate(urls) if rng.random() < 0.8}
+    for least, sure, lift in ((0.05, 0.7, 1.5), (0.02, 0.9, 1.0)):
+        rows = [(plain_tokens(urls[k]), b) for k, b in bad.items()]
+        n, share, seen, with_bad = len(rows), sum(bad.values()) / len(rows), defaultdict(int), defaultdict(int)
+        for tokens, b in rows:
+            for size in range(1, len(tokens) + 1):
+                for part in combinations(sorted(tokens), size):
+                    seen[part] += 1
+                    with_bad[part] += b
+        rules = [frozenset(p) for p, c in with_bad.items() if c >= max(1, math.ceil(n * least)) and c / seen[p] >= sure and c / seen[p] / share >= lift]
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        labels = spark.createDataFrame([(k, 1, b) for k, b in bad.items()], "doc_id long, quality int, toxic int")
+        got = {r.page_id: r.verdict for r in url_filter.judge(df, labels, rules=[], min_support=least, min_confidence=sure, min_lift=lift).collect()}
+        assert rules and got == {k: "block" if any(r <= plain_tokens(u) for r in rules) else "allow" for k, u in enumerate(urls)}
+
+
 def test_urls_without_labels_or_pages(spark):
     df = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
