@@ -43,8 +43,19 @@ def buckets(spark: SparkSession) -> int:
 class Scratch:
     """Tables of one run in the shared folder. A written table cuts the lineage and outlives lost executors."""
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        Scratch.made.append(self)
+
+    def clear(self) -> None:
+        """Deletes all tables of the run, when nothing reads them any more."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        Scratch.made.remove(self)
 
     def cut(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
@@ -64,6 +75,7 @@ class Scratch:
             (writer.sortBy(key) if sort else writer).saveAsTable(name, format="parquet")
         out = self.spark.table(name)
         out._scratch_path, out._scratch_table = path, name
+        self.tables.append(name)
         return out
 
     def cut_sorted(self, df: DataFrame, key: str) -> DataFrame:
