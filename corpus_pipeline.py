@@ -70,5 +70,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty table gives no rows."""
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for _, stage in STAGES:
+        before, others = docs, len(Scratch.made)
         docs = scratch.cut(stage(spark, docs, sf_dir), "stage")
+        for used in Scratch.made[others:]:  # what the stage wrote on its way
+            used.clear()
+        if hasattr(before, "_scratch_path"):
+            scratch.drop(before)
     return docs
