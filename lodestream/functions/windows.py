@@ -18,7 +18,7 @@ class Rolling:
     of them needs one shuffle and one sort."""
 
     by: tuple[str, ...] = ("symbol",)
-    order: tuple[str, ...] = ("ts",)
+    order: tuple[Column | str, ...] = ("ts",)
 
     @property
     def w(self) -> WindowSpec:

@@ -10,7 +10,9 @@ from .ordered import quantiles
 
 
 def dedup(ticks: DataFrame, keep: str = "first", keys: tuple[str, ...] = ("symbol", "ts"), order: str = "sequence") -> DataFrame:
-    """One row per key: of least or greatest order. An aggregation with map-side combine, not a window."""
+    """One row per key: of least or greatest order; without keys every row. An aggregation with map-side combine, not a window."""
+    if not keys:
+        return ticks
     rest = [c for c in ticks.columns if c not in keys]
     pick = (F.min_by if keep == "first" else F.max_by)(F.struct(*rest), F.col(order)).alias("_row")
     return ticks.groupBy(*keys).agg(pick).select(*keys, "_row.*").select(*ticks.columns)
@@ -21,11 +23,15 @@ def invalid() -> Column:
     return F.coalesce((F.col("price") <= 0) | (F.col("volume") < 0), F.lit(True)) | F.col("price").isNull() | F.col("volume").isNull()
 
 
+def by_time() -> Rolling:
+    """A symbol's ticks in time order, those without a time last."""
+    return Rolling(order=(F.asc_nulls_last("ts"), F.asc_nulls_last("sequence")))
+
+
 def returns_within(ticks: DataFrame, z: float = 5.0, least: int = 10) -> DataFrame:
     """Drops ticks whose return lies more than z population deviations from its symbol's mean return, in symbols of
     more than `least` ticks; a null return stays. Statistics are aggregated and joined back: no symbol in one task but for the lag."""
-    r = Rolling(order=("ts", "sequence"))
-    x = ticks.withColumn("_r", r.pct("price"))
+    x = ticks.withColumn("_r", by_time().pct("price"))
     stats = x.groupBy("symbol").agg(F.avg("_r").alias("_m"), F.stddev_pop("_r").alias("_s"), F.count("*").alias("_n"))
     far = (F.col("_n") > least) & (F.abs(F.try_divide(F.col("_r") - F.col("_m"), F.col("_s"))) > z)
     return x.join(stats, "symbol").filter(~F.coalesce(far, F.lit(False))).select(*ticks.columns)
@@ -38,21 +44,20 @@ def volume_within(ticks: DataFrame, k: float = 3.0) -> DataFrame:
     return ticks.join(q, "symbol").filter(F.col("volume").between(lo - k * (hi - lo), hi + k * (hi - lo))).select(*ticks.columns)
 
 
-def clean(ticks: DataFrame) -> DataFrame:
-    """The whole chain: first of duplicates, valid prices, returns, volumes."""
-    return volume_within(returns_within(dedup(ticks).filter(~invalid())))
+def clean(ticks: DataFrame, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """The whole chain: first of duplicates by the keys (without keys no tick is one), valid prices, returns, volumes."""
+    return volume_within(returns_within(dedup(ticks, keys=keys).filter(~invalid())))
 
 
-def clean_stats(ticks: DataFrame) -> DataFrame:
-    """Per symbol: rows before, duplicates, invalid, outliers, rows left and the quality score."""
-    first = dedup(ticks)
-    by = lambda df, name: df.groupBy("symbol").agg(F.count("*").alias(name))
-    left = clean(ticks)
-    out = by(ticks, "total").join(by(first, "_d"), "symbol", "left").join(by(first.filter(~invalid()), "_v"), "symbol", "left").join(by(left, "_l"), "symbol", "left").join(quality(left), "symbol", "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    retained = n("_l") / F.col("total")
-    score = F.least(F.lit(1.0), 0.7 * retained + 0.3 * F.coalesce("consistency", F.lit(0.5)))
-    return out.select("symbol", "total", (F.col("total") - n("_d")).alias("duplicates"), (n("_d") - n("_v")).alias("invalid"), (n("_v") - n("_l")).alias("outliers"), n("_l").alias("kept"), score.alias("quality"))
+def clean_stats(ticks: DataFrame, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """Per symbol: rows before, duplicates by the keys, invalid, outliers, rows left and the quality score. A null symbol
+    has a row, too; none of its ticks is left."""
+    total = ticks.groupBy("symbol").agg(F.count("*").alias("total"))
+    first = dedup(ticks, keys=keys).groupBy(F.col("symbol").alias("_of")).agg(F.count("*").alias("_d"), F.count_if(~invalid()).alias("_v"))
+    out = total.join(first, F.col("symbol").eqNullSafe(F.col("_of"))).join(quality(clean(ticks, keys)), "symbol", "left")
+    kept = F.coalesce("kept", F.lit(0))
+    score = F.least(F.lit(1.0), kept * 7 / 10 / F.col("total") + 0.3 * F.coalesce("consistency", F.lit(0.5)))
+    return out.select("symbol", "total", (F.col("total") - F.col("_d")).alias("duplicates"), (F.col("_d") - F.col("_v")).alias("invalid"), (F.col("_v") - kept).alias("outliers"), kept.alias("kept"), score.alias("quality"))
 
 
 def gap_seconds(r: Rolling) -> Column:
@@ -61,10 +66,10 @@ def gap_seconds(r: Rolling) -> Column:
 
 
 def quality(ticks: DataFrame) -> DataFrame:
-    """(symbol, consistency): one minus the deviation of the gaps in minutes, within 0 and 1; 0.5 for a single row."""
-    g = ticks.select("symbol", gap_seconds(Rolling(order=("ts", "sequence"))).alias("g"))
+    """(symbol, kept, consistency): rows; one minus the deviation of the gaps in minutes, within 0 and 1, 0.5 for a single row."""
+    g = ticks.select("symbol", gap_seconds(by_time()).alias("g"))
     s = F.coalesce(F.stddev_samp("g"), F.lit(0.0))
-    return g.groupBy("symbol").agg(F.when(F.count("*") <= 1, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - s / 60))).alias("consistency"))
+    return g.groupBy("symbol").agg(F.count("*").alias("kept"), F.when(F.count("*") <= 1, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - s / 60))).alias("consistency"))
 
 
 def fill_calendar(bars: DataFrame, freq: str, limit: int = 3, weekends: bool = False) -> DataFrame:

@@ -44,6 +44,13 @@ def test_empty_and_single(spark):
     assert (one.open, one.close, one.volume_per_tick, one.ticks) == (2.0, 2.0, 3.0, 1)
 
 
+def test_clean_counts_duplicates_by_the_keys(spark):
+    t = ticks(spark, [(0, 1.0, 1.0), (0, 2.0, 1.0), (1, 3.0, 1.0), (2, -1.0, 1.0)])
+    counts = lambda df: [(r.total, r.duplicates, r.invalid, r.outliers, r.kept) for r in df.collect()]
+    assert counts(clean.clean_stats(t)) == [(4, 1, 1, 0, 2)] and counts(clean.clean_stats(t, keys=())) == [(4, 0, 1, 0, 3)]
+    assert [clean.clean(t).count(), clean.clean(t, keys=()).count()] == [2, 3]
+
+
 def test_sessions_by_hour(spark):
     rows = spark.range(24).select("id", scalar.market_session(F.lit(T0) + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("s")).collect()
     want = ["asian"] * 8 + ["london"] * 5 + ["overlap"] * 4 + ["new_york"] * 5 + ["closed", "asian"]
